@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import langid, media, mixing, pieces, simhash, urls
+from tidegraph.llm import embeddings, langid, media, mixing, pieces, simhash, urls, warc
 
 #: (host, path, verdict)
 RULES = (
@@ -38,6 +38,16 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector."""
+    return embeddings.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, from the archives read back."""
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id, kept of every document."""
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
@@ -54,7 +64,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_pieces, op3_language, op7_simhash, op9_media, op10_urls)}
+    return {f.__name__: f for f in (op1_mixing, op2_pieces, op3_language, op4_embeddings, op5_warc, op7_simhash, op9_media, op10_urls)}
 
 
 OP1_SQL = r"""
