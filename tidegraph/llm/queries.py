@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import embeddings, langid, media, mixing, pieces, simhash, urls, warc
+from tidegraph.llm import embeddings, langid, language_model, media, mixing, pieces, simhash, urls, warc
 
 #: (host, path, verdict)
 RULES = (
@@ -53,6 +53,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text as a picture, and what is read back from it."""
     return media.media_features(media.to_media(table(spark, sf_dir, "documents"))).drop("error")
@@ -64,7 +69,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_pieces, op3_language, op4_embeddings, op5_warc, op7_simhash, op9_media, op10_urls)}
+    return {f.__name__: f for f in (op1_mixing, op2_pieces, op3_language, op4_embeddings, op5_warc, op7_simhash, op8_language_model, op9_media, op10_urls)}
 
 
 OP1_SQL = r"""
