@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import embeddings, langid, language_model, media, mixing, pieces, simhash, urls, warc
+from tidegraph.llm import embeddings, langid, language_model, media, mixing, pieces, quality, simhash, urls, warc
 
 #: (host, path, verdict)
 RULES = (
@@ -48,6 +48,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, quality_pred, score, text_score, meta_score of every document."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id, kept of every document."""
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
@@ -69,7 +74,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_pieces, op3_language, op4_embeddings, op5_warc, op7_simhash, op8_language_model, op9_media, op10_urls)}
+    return {f.__name__: f for f in (op1_mixing, op2_pieces, op3_language, op4_embeddings, op5_warc, op6_quality, op7_simhash, op8_language_model, op9_media, op10_urls)}
 
 
 OP1_SQL = r"""
