@@ -188,8 +188,8 @@ def train(labelled: DataFrame, per_language: int = 1500, orders: tuple[int, ...]
     return Model.fit(found.toPandas(), orders)
 
 
-def predict(docs: DataFrame, model: Model, extra: tuple[str, ...] = ()) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, lang_pred, score, held and the extra columns, from the text alone.
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """docs (text, ...) -> the columns to keep, and lang_pred, score, held (their names after `prefix`), from the text alone.
 
     `und` with score 0 where the text is null or has no letter (or where nothing was learned). Ties go to the first
     language by code point. Whole texts of any length. Repeated rows each get a row; empty input gives none.
@@ -199,14 +199,14 @@ def predict(docs: DataFrame, model: Model, extra: tuple[str, ...] = ()) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text"):
-                names, score, held = sent.value.predict(piece.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("doc_id", *extra)), pa.array(names, pa.string()), pa.array(score), pa.array(held)], names=["doc_id", *extra, "lang_pred", "score", "held"])
+            for piece in slices(batch, "__text"):
+                names, score, held = sent.value.predict(piece.column("__text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score), pa.array(held)], names=[*keep, *found])
 
     types = dict(docs.dtypes)
-    kind = ", ".join(f"`{c}` {types[c]}" for c in ("doc_id", *extra))
-    columns = ["doc_id", *extra] + ([] if "text" in extra else ["text"])
-    return docs.select(*columns).mapInArrow(run, f"{kind}, lang_pred string, score double, held double")
+    found = [f"{prefix}{x}" for x in ("lang_pred", "score", "held")]
+    kind = "".join(f"`{c}` {types[c]}, " for c in keep) + ", ".join(f"`{c}` {t}" for c, t in zip(found, ("string", "double", "double"), strict=True))
+    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, kind)
 
 
 def identify(docs: DataFrame, parts: int = 4, out: int = 2, per_language: int = 1500) -> DataFrame:

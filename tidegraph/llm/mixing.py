@@ -54,8 +54,34 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     return ranked.select("source", "source_size", F.least(most * F.col("source_size"), F.coalesce("level", F.lit(float("inf"))) * F.col("weight")).alias("target"))
 
 
+def sized_rows(docs: DataFrame, seed: str = "mix", key: str = "doc_id") -> DataFrame:
+    """docs -> doc_id, source, size, h: all that a mix is planned from."""
+    return docs.select(F.col(key).alias("doc_id"), "source", word_count(F.col("text")).alias("size"), order_hash(F.col(key), seed).alias("h"))
+
+
+def plan_mix(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """Stored sized_rows -> source, source_size, target, passes, cut: all of a source is taken `passes` times, and what hashes below `cut` once more."""
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    targets = stored(source_targets(sized, weights, share, most).withColumn("passes", whole.cast("int")).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")))
+    edge = targets.select("source", F.lit(0).cast("long").alias("low"), F.col("rest").alias("left"), F.lit(0).cast("long").alias("words"))
+    fine = BITS
+    for bits in LEVELS:
+        coarse, fine = fine, fine - bits
+        inside = sized.alias("d").join(maybe_broadcast(edge).alias("e"), F.expr("d.source <=> e.source"))
+        if coarse < BITS:
+            inside = inside.filter(F.shiftright("h", coarse) == F.shiftright("low", coarse))
+        cells = inside.groupBy(F.col("d.source").alias("source"), F.shiftright("h", fine).alias("cell")).agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+        up_to = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # the boundary cell is the first that the rest doesn't cover whole; only a source without words has none
+        last = cells.withColumn("upto", F.sum("words").over(up_to)).groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("left"), F.struct("cell", "words", "upto", "left"))).alias("b"))
+        found = last.filter("b is not null").select("source", F.shiftleft("b.cell", fine).alias("low"), (F.col("b.left") - (F.col("b.upto") - F.col("b.words"))).alias("left"), F.col("b.words").alias("words"))
+        edge = stored(edge.alias("o").join(maybe_broadcast(stored(found)).alias("n"), F.expr("o.source <=> n.source"), "left").select("o.source", F.coalesce("n.low", "o.low").alias("low"), F.coalesce("n.left", "o.left").alias("left"), F.coalesce("n.words", F.lit(0)).alias("words")))
+    cut = edge.select("source", F.when((F.col("words") > 0) & (F.col("words") / 2 <= F.col("left")), F.col("low") + 1).otherwise(F.col("low")).alias("cut"))
+    return stored(targets.alias("t").join(maybe_broadcast(cut).alias("c"), F.expr("t.source <=> c.source")).select("t.source", "source_size", "target", "passes", "cut"))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", key: str = "doc_id") -> DataFrame:
-    """Every row of docs (doc_id, text, source) -> doc_id, size, source_size, target, taken, copies.
+    """Every row of docs (doc_id, text, source) -> doc_id, size, source_size, target, taken, copies, source.
 
     copies is how often the mix takes a document, never over `most` rounded down; taken = copies * size. Of each
     source, the whole passes are taken by all, and the rest by the documents of the least hashes whose middle lies
@@ -64,37 +90,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     share one hash and are taken or left together. Empty input: no rows. A source without words has target 0 and its
     documents are taken 0 times. Other columns don't matter.
     """
-    sized = stored(docs.select(F.col(key).alias("doc_id"), "source", word_count(F.col("text")).alias("size"), order_hash(F.col(key), seed).alias("h")))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    targets = stored(source_targets(sized, weights, share, most).withColumn("passes", whole.cast("int")).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")))
+    sized = stored(sized_rows(docs, seed, key))
+    out = sized.alias("d").join(maybe_broadcast(plan_mix(sized, weights, share, most)).alias("p"), F.expr("d.source <=> p.source"))
+    return out.select("doc_id", "size", "source_size", "target", (copies() * F.col("size")).cast("long").alias("taken"), copies().alias("copies"), F.col("d.source").alias("source"))
 
-    edge = targets.select("source", F.lit(0).cast("long").alias("low"), F.col("rest").alias("left"))
-    used = 0
-    for bits in LEVELS:
-        used += bits
-        fine, coarse = BITS - used, BITS - used + bits
-        inside = sized.alias("d").join(maybe_broadcast(edge).alias("e"), F.expr("d.source <=> e.source")).filter(F.shiftright("h", coarse) == F.shiftright("low", coarse)) if coarse < BITS else sized.alias("d").join(maybe_broadcast(edge).alias("e"), F.expr("d.source <=> e.source"))
-        cells = inside.groupBy(F.col("d.source").alias("source"), F.shiftright("h", fine).alias("cell")).agg(F.sum("size").alias("words"), F.first("left").alias("left"))
-        up_to = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        run = cells.withColumn("upto", F.sum("words").over(up_to))
-        # the boundary cell is the first that the rest doesn't cover whole; where all are covered, the threshold lies beyond them
-        last = run.groupBy("source").agg(
-            F.min(F.when(F.col("upto") > F.col("left"), F.struct("cell", "words", "upto", "left"))).alias("b"),
-            F.max("cell").alias("top"),
-        )
-        edge = stored(
-            last.select(
-                "source",
-                F.when(F.col("b").isNull(), F.shiftleft(F.col("top") + 1, fine)).otherwise(F.shiftleft(F.col("b.cell"), fine)).alias("low"),
-                F.when(F.col("b").isNull(), F.lit(0.0)).otherwise(F.col("b.left") - (F.col("b.upto") - F.col("b.words"))).alias("left"),
-                F.coalesce(F.col("b.words"), F.lit(0)).alias("words"),
-            )
-        )
-        if coarse < BITS:  # sources whose boundary was found beyond all cells keep it
-            edge = stored(held.alias("o").join(maybe_broadcast(edge).alias("n"), F.expr("o.source <=> n.source"), "left").select("o.source", F.coalesce("n.low", "o.low").alias("low"), F.coalesce("n.left", F.lit(0.0)).alias("left"), F.coalesce("n.words", F.lit(0)).alias("words")))
-        held = edge
-    cut = edge.select("source", F.when((F.col("words") > 0) & (F.col("words") / 2 <= F.col("left")), F.col("low") + 1).otherwise(F.col("low")).alias("cut"))
-    plan = stored(targets.alias("t").join(maybe_broadcast(cut).alias("c"), F.expr("t.source <=> c.source"), "left").select("t.source", "source_size", "target", "passes", F.coalesce("cut", F.lit(0)).alias("cut")))
-    out = sized.alias("d").join(maybe_broadcast(plan).alias("p"), F.expr("d.source <=> p.source"))
-    copies = F.when(F.col("source_size") > 0, F.col("passes") + (F.col("h") < F.col("cut")).cast("int")).otherwise(0)
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"), F.col("h").alias("order_hash"), F.col("d.source").alias("source"))
+
+def copies() -> Column:
+    return F.when(F.col("source_size") > 0, F.col("passes") + (F.col("h") < F.col("cut")).cast("int")).otherwise(0).cast("int")
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+    """docs as the mix takes them: each row as often as its copies, columns unchanged. The texts are joined to one row per source, and not shuffled where that list is short."""
+    plan = plan_mix(stored(sized_rows(docs, seed)), weights, share, most).withColumnRenamed("source", "plan_source")
+    taken = docs.withColumn("h", order_hash(F.col("doc_id"), seed)).join(maybe_broadcast(plan), F.col("source").eqNullSafe(F.col("plan_source"))).filter(copies() > 0)
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), copies()))).select(*docs.columns)

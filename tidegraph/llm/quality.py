@@ -227,16 +227,17 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     return CoTrained.fit(text[known], meta[known], got["y"].to_numpy()[known].astype(float), text[~known], meta[~known], calibrate[known])
 
 
-def score(docs: DataFrame, model: CoTrained | None, extra: tuple[str, ...] = ()) -> DataFrame:
-    """docs -> the extra columns, score, text_score, meta_score: probabilities of good quality; 0.5 without a model.
+def score(docs: DataFrame, model: CoTrained | None, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """docs -> the columns to keep, and score, text_score, meta_score (their names after `prefix`): probabilities of good quality; 0.5 without a model.
 
     Whole texts of any length; nulls in any column are values of their own. Repeated rows each get a row; no rows in,
-    no rows out. The columns named in `extra` are passed on as they are.
+    no rows out.
     """
     lean_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     types = dict(docs.dtypes)
-    plain = docs.select(*extra, *(F.col(c).cast("long" if c == "n_chars" else "string").alias(f"__{c}") for c in COLUMNS))
+    names = [f"{prefix}{x}" for x in ("score", "text_score", "meta_score")]
+    plain = docs.select(*keep, *(F.col(c).cast("long" if c == "n_chars" else "string").alias(f"__{c}") for c in COLUMNS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -247,10 +248,9 @@ def score(docs: DataFrame, model: CoTrained | None, extra: tuple[str, ...] = ())
                 else:
                     views = pa.RecordBatch.from_arrays([piece.column(f"__{c}") for c in COLUMNS], names=list(COLUMNS))
                     found = m.predict(*_both(views))
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in extra), *map(pa.array, found)], names=[*extra, "score", "text_score", "meta_score"])
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *map(pa.array, found)], names=[*keep, *names])
 
-    kind = "".join(f"`{c}` {types[c]}, " for c in extra)
-    return plain.mapInArrow(run, f"{kind}score double, text_score double, meta_score double")
+    return plain.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"`{c}` double" for c in names)]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, parts: int = 4, out: int = 2, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:

@@ -14,13 +14,12 @@ from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import Forest, connected_components, lean_batches, slices, stored
+from tidegraph.llm.common import Forest, connected_components, lean_batches, maybe_broadcast, slices, stored
 
 #: Shingle hashes turned to bits at a time.
 BLOCK = 1 << 16
@@ -176,6 +175,152 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, parts: int = 3, kept
     return spread.mapInArrow(_links(radius), "u long, v long").distinct()
 
 
+def word_set(text: str | None) -> tuple[int, int, int]:
+    """(hash of the words in order, two SimHashes of the set of words) of a text; A-Z lower-cased."""
+    found = (text or "").encode().lower().split()
+    whole = xxhash.xxh3_64_intdigest(b" ".join(found), 7)
+    if not found:
+        return whole, 0, 0
+    kinds = set(found)
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, kinds)), np.uint8).reshape(-1, 16)
+    ones = np.zeros(128, np.int64)
+    for at in range(0, len(h), BLOCK):
+        ones += np.unpackbits(h[at : at + BLOCK], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    a, b = np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<u8").tolist()
+    return whole, a, b
+
+
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """Hashes of the distinct shingles of a text; a text of fewer words is one shingle."""
+    found = (text or "").encode().lower().split()
+    if len(found) <= words:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(found))], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[: len(found) - words + 1].tolist()
+    line = b" ".join(found)
+    cuts = map(line.__getitem__, map(slice, starts, (ends[words - 1 :] - 1).tolist()))
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, cuts), np.uint64, len(starts)))
+
+
+def _candidates(radius: int):
+    """Sorted (variant, fp) batches -> pairs (u, v) to verify: all of a bucket of up to 4, else each with its neighbours and with the bucket's first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_v = last_first = None
+        tail = np.zeros(0, np.uint64)
+        for batch in batches:
+            v = batch.column(0).to_numpy(zero_copy_only=False)
+            f = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            if not len(v):
+                continue
+            carried = len(tail) if last_v == v[0] else 0
+            if carried:
+                v, f = np.concatenate([np.full(carried, v[0]), v]), np.concatenate([tail[-carried:], f])
+            fresh = np.concatenate(([True], v[1:] != v[:-1]))
+            starts = np.flatnonzero(fresh)
+            head = np.repeat(f[starts], np.diff(np.append(starts, len(v))))
+            if carried and last_first is not None:
+                head[v == v[0]] = last_first
+            made = [(f, head)]
+            for step in (1, 2, 3):
+                same = np.flatnonzero(v[step:] == v[:-step])
+                made.append((f[same], f[same + step]))
+            a, b = np.concatenate([x for x, _ in made]), np.concatenate([y for _, y in made])
+            near = (a != b) & (distance(a, b) <= radius)
+            pairs = np.unique(np.stack([np.maximum(a[near], b[near]), np.minimum(a[near], b[near])], axis=1), axis=0).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
+            last_v, last_first = v[-1], head[-1]
+            tail = f[v == v[-1]][-3:]
+
+    return run
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 4, parts: int = 3, kept: int = 2) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, cid, keep_id: which document stays of each group of near copies.
+
+    Texts of the same words in the same order are one class (cid). Classes whose SimHash over the set of words is
+    within the radius, by either of two independent fingerprints, are candidates from ball hashing; a candidate pair
+    links if the Jaccard similarity of its sets of `words`-word shingles is at least `similarity`. keep_id is the
+    smallest doc_id of the group. Buckets of more than 4 fingerprints give each member's neighbours and the bucket's
+    first, so candidates grow with the rows and not with the squares of groups. Null text: like empty.
+    """
+    spark = docs.sparkSession
+    lean_batches(spark)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                got = np.array([word_set(t) for t in piece.column("text").to_pylist()], dtype=np.uint64).reshape(-1, 3).view(np.int64)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(got[:, i].copy()) for i in range(3))], names=["doc_id", "cid", "a", "b"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = stored(texts.mapInArrow(sets, "doc_id long, cid long, a long, b long"))
+    classes = stored(marked.groupBy("cid").agg(F.min("doc_id").alias("least"), F.first("a").alias("a"), F.first("b").alias("b")))
+    pairs = None
+    for side, salt in (("a", 0), ("b", 1)):
+        prints = stored(classes.groupBy(F.col(side).alias("fp")).agg(F.min("cid").alias("first"), F.count("*").alias("n")))
+        variants = prints.select("fp").mapInArrow(_variants(choices(radius, parts, kept)), "variant long, fp long")
+        found = variants.repartition("variant").sortWithinPartitions("variant", "fp").mapInArrow(_candidates(radius), "u long, v long").distinct()
+        ends = prints.select(F.col("fp"), "first")
+        linked = stored(found).join(maybe_broadcast(ends.select(F.col("fp").alias("u"), F.col("first").alias("x"))), "u").join(maybe_broadcast(ends.select(F.col("fp").alias("v"), F.col("first").alias("y"))), "v").select("x", "y")
+        equal = classes.select("cid", F.col(side).alias("fp")).join(maybe_broadcast(prints.filter("n > 1").select("fp", "first")), "fp").filter("cid <> first").select(F.col("cid").alias("x"), F.col("first").alias("y"))
+        more = linked.unionByName(equal)
+        pairs = more if pairs is None else pairs.unionByName(more)
+    pairs = stored(pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+    wanted = stored(pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct().join(classes.select("cid", "least"), "cid").select(F.col("cid").alias("want"), "least"))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                texts, want = piece.column("text").to_pylist(), piece.column("want").to_pylist()
+                right = [i for i, t in enumerate(texts) if np.array([word_set_hash(t)], np.uint64).view(np.int64)[0] == want[i]]
+                made = [shingle_set(texts[i], words).view(np.int64) for i in right]
+                yield pa.RecordBatch.from_arrays([pa.array([want[i] for i in right], pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["k", "s"])
+
+    held = texts.join(maybe_broadcast(wanted, 500_000), F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "want").mapInArrow(shingles, "k long, s array<long>")
+    held = stored(held.dropDuplicates(["k"]))
+    both = pairs.join(held.select(F.col("k").alias("x"), F.col("s").alias("s1")), "x").join(held.select(F.col("k").alias("y"), F.col("s").alias("s2")), "y")
+    common = F.size(F.array_intersect("s1", "s2"))
+    links = both.filter(common >= similarity * (F.size("s1") + F.size("s2") - common)).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    nodes = connected_components(links)
+    grouped = stored(classes.join(nodes, F.col("cid") == F.col("node"), "left").select("cid", "least", F.coalesce("component", "cid").alias("root")))
+    named = stored(grouped.groupBy("root").agg(F.min("least").alias("keep_id")))
+    lookup = stored(grouped.join(named, "root").select(F.col("cid").alias("c"), "keep_id"))
+    return marked.join(lookup, F.col("cid") == F.col("c")).select("doc_id", "cid", "keep_id")
+
+
+def word_set_hash(text: str | None) -> int:
+    """The first of word_set alone."""
+    return xxhash.xxh3_64_intdigest(b" ".join((text or "").encode().lower().split()), 7)
+
+
+def without_near_copies(docs: DataFrame, **how: object) -> DataFrame:
+    """docs with one document of each group of near copies, columns unchanged: the one of the smallest doc_id. Of rows that repeat it with the same text one stays."""
+    spark = docs.sparkSession
+    told = stored(near_copies(docs, **how))
+    gone = stored(told.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("gone_id"), F.col("cid").alias("gone_cid")).distinct())
+    types = dict(docs.dtypes)
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cid = np.array([word_set_hash(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cid)], names=[*columns, "__cid"])
+
+    lean_batches(spark)
+    marked = docs.mapInArrow(run, "".join(f"`{c}` {types[c]}, " for c in columns) + "__cid long")
+    left = marked.join(maybe_broadcast(gone, 500_000), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("__cid") == F.col("gone_cid")), "left_anti")
+    stays = told.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    # a second row of the same id: same text, or another text of the same group
+    again = stored(stays.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("cid").alias("c")).filter("n > 1").select(F.col("doc_id").alias("again_id")))
+    if again.limit(1).count():
+        hit = F.col("doc_id").eqNullSafe(F.col("again_id"))
+        groups = stays.select(F.col("doc_id").alias("i"), F.col("cid").alias("c"), F.col("keep_id").alias("k")).distinct()
+        once = left.join(maybe_broadcast(again, 500_000), hit, "left_semi").join(groups, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("__cid") == F.col("c"))).dropDuplicates(["i", "k"]).drop("i", "c", "k")
+        left = left.join(maybe_broadcast(again, 500_000), hit, "left_anti").unionByName(once)
+    return left.select(*columns)
+
+
 def simhash_dedup(docs: DataFrame, radius: int = 4, words: int = 4, parts: int = 3, kept: int = 2, key: str = "doc_id") -> DataFrame:
     """Every row of docs (doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id, kept.
 
