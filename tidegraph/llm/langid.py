@@ -163,7 +163,7 @@ def train(labelled: DataFrame, per_language: int = 1500, orders: tuple[int, ...]
     """
     spark = labelled.sparkSession
     lean_batches(spark)
-    labelled = labelled.filter("text is not null and lang is not null")
+    labelled = labelled.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
     sizes = [(r["lang"], r["count"]) for r in labelled.groupBy("lang").count().limit(4097).collect()]
     if len(sizes) > 4096:
         raise ValueError("over 4,096 languages: is lang the right column?")

@@ -95,12 +95,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     return out.select("doc_id", "size", "source_size", "target", (copies() * F.col("size")).cast("long").alias("taken"), copies().alias("copies"), F.col("d.source").alias("source"))
 
 
-def copies() -> Column:
-    return F.when(F.col("source_size") > 0, F.col("passes") + (F.col("h") < F.col("cut")).cast("int")).otherwise(0).cast("int")
+def copies(before: str = "") -> Column:
+    """How often a row is taken, from its plan and hash; `before` stands before the names of these columns."""
+    size, passes, cut, h = (F.col(before + c) for c in ("source_size", "passes", "cut", "h"))
+    return F.when(size > 0, passes + (h < cut).cast("int")).otherwise(0).cast("int")
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """docs as the mix takes them: each row as often as its copies, columns unchanged. The texts are joined to one row per source, and not shuffled where that list is short."""
-    plan = plan_mix(stored(sized_rows(docs, seed)), weights, share, most).withColumnRenamed("source", "plan_source")
-    taken = docs.withColumn("h", order_hash(F.col("doc_id"), seed)).join(maybe_broadcast(plan), F.col("source").eqNullSafe(F.col("plan_source"))).filter(copies() > 0)
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), copies()))).select(*docs.columns)
+    plan = plan_mix(stored(sized_rows(docs, seed)), weights, share, most)
+    plan = plan.select(*(F.col(c).alias(f"__{c}") for c in plan.columns))
+    taken = docs.withColumn("__h", order_hash(F.col("doc_id"), seed)).join(maybe_broadcast(plan), F.col("source").eqNullSafe(F.col("__source"))).withColumn("__copies", copies("__"))
+    return taken.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)

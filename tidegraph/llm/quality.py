@@ -200,6 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     whole; their features reach the driver. Repeated labels of a document are averaged, null ones left out.
     """
     lean_batches(docs.sparkSession)
+    docs = docs.select("doc_id", *COLUMNS)
     told = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1 << 30))
     n_labels, n_docs = told.count(), docs.count()

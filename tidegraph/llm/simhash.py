@@ -235,8 +235,8 @@ def _candidates(radius: int):
     return run
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 4, parts: int = 3, kept: int = 2) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, cid, keep_id: which document stays of each group of near copies.
+def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 5, parts: int = 4, kept: int = 2) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, cid, keep_id, root: which document stays of each group (root) of near copies.
 
     Texts of the same words in the same order are one class (cid). Classes whose SimHash over the set of words is
     within the radius, by either of two independent fingerprints, are candidates from ball hashing; a candidate pair
@@ -285,8 +285,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius
     nodes = connected_components(links)
     grouped = stored(classes.join(nodes, F.col("cid") == F.col("node"), "left").select("cid", "least", F.coalesce("component", "cid").alias("root")))
     named = stored(grouped.groupBy("root").agg(F.min("least").alias("keep_id")))
-    lookup = stored(grouped.join(named, "root").select(F.col("cid").alias("c"), "keep_id"))
-    return marked.join(lookup, F.col("cid") == F.col("c")).select("doc_id", "cid", "keep_id")
+    lookup = stored(grouped.join(named, "root").select(F.col("cid").alias("c"), "keep_id", "root"))
+    return marked.join(lookup, F.col("cid") == F.col("c")).select("doc_id", "cid", "keep_id", "root")
 
 
 def word_set_hash(text: str | None) -> int:
@@ -298,7 +298,7 @@ def without_near_copies(docs: DataFrame, **how: object) -> DataFrame:
     """docs with one document of each group of near copies, columns unchanged: the one of the smallest doc_id. Of rows that repeat it with the same text one stays."""
     spark = docs.sparkSession
     told = stored(near_copies(docs, **how))
-    gone = stored(told.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("gone_id"), F.col("cid").alias("gone_cid")).distinct())
+    gone = stored(told.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__gone_id"), F.col("cid").alias("__gone_cid")).distinct())
     types = dict(docs.dtypes)
     columns = docs.columns
 
@@ -309,15 +309,15 @@ def without_near_copies(docs: DataFrame, **how: object) -> DataFrame:
 
     lean_batches(spark)
     marked = docs.mapInArrow(run, "".join(f"`{c}` {types[c]}, " for c in columns) + "__cid long")
-    left = marked.join(maybe_broadcast(gone, 500_000), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("__cid") == F.col("gone_cid")), "left_anti")
+    left = marked.join(maybe_broadcast(gone, 500_000), F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.col("__cid") == F.col("__gone_cid")), "left_anti")
     stays = told.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     # a second row of the same id: same text, or another text of the same group
-    again = stored(stays.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("cid").alias("c")).filter("n > 1").select(F.col("doc_id").alias("again_id")))
+    again = stored(stays.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__again")))
     if again.limit(1).count():
-        hit = F.col("doc_id").eqNullSafe(F.col("again_id"))
-        groups = stays.select(F.col("doc_id").alias("i"), F.col("cid").alias("c"), F.col("keep_id").alias("k")).distinct()
-        once = left.join(maybe_broadcast(again, 500_000), hit, "left_semi").join(groups, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("__cid") == F.col("c"))).dropDuplicates(["i", "k"]).drop("i", "c", "k")
-        left = left.join(maybe_broadcast(again, 500_000), hit, "left_anti").unionByName(once)
+        hit = F.col("doc_id").eqNullSafe(F.col("__again"))
+        groups = stays.select(F.col("doc_id").alias("__i"), F.col("cid").alias("__c"), F.col("keep_id").alias("__k"), F.col("root").alias("__r")).distinct()
+        once = left.join(maybe_broadcast(again, 500_000), hit, "left_semi").join(groups, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__cid") == F.col("__c"))).dropDuplicates(["__i", "__r"])
+        left = left.join(maybe_broadcast(again, 500_000), hit, "left_anti").select(*columns).unionByName(once.select(*columns))
     return left.select(*columns)
 
 
