@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegraph.functions.workers import ready
+
 #: Words of every contract: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -63,19 +60,9 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterato
         at = to
 
 
-_shipped: set[str] = set()
-
-
 def lean_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Readies Python workers: they get this package, once a context, and Arrow batches of at most 512 whole texts unless the session asks for fewer."""
-    if (app := spark.sparkContext.applicationId) not in _shipped:
-        top, at = Path(__file__).resolve().parents[1], os.path.realpath(tempfile.mkdtemp(prefix="package-"))
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-        with zipfile.ZipFile(f"{at}/{top.name}.zip", "w") as z:
-            for f in sorted(top.rglob("*.py")):
-                z.write(f, f.relative_to(top.parent))
-        spark.sparkContext.addPyFile(f"{at}/{top.name}.zip")
-        _shipped.add(app)
+    """Readies Python workers: they get this package, and Arrow batches of at most 512 whole texts unless the session asks for fewer."""
+    ready(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
