@@ -161,6 +161,64 @@ def parse_funnel(lines: DataFrame, key: str = "log_id") -> tuple[DataFrame, Data
     return out, fates
 
 
+FUNNEL_LINE = r"(?i)Job brokerage summary|candidates (?:passed|have input data|for final check)|skip site=\S+.*?criteria=-"
+AVAILABLE = r"(?i)replica_availability|is distributed|is available at \d+ sites(?: on (?:DISK|TAPE))?"
+USED = r"(?i)use site=\S+.*?criteria=\+use"
+NONE_LEFT = r"(?i)\bno candidates\b"
+PROBLEMATIC = r"(?i)getting rid of problematic site|unsuitable for the user"
+LEAST_MARKERS = 3
+
+
+def render_funnel(lines: DataFrame, key: str = "log_id", top: int = 3, most: int = 20, availability: bool = True, problematic: str = PROBLEMATIC) -> DataFrame:
+    """Funnel logs -> (log_id, text) of what matters: availability, stages by how much they cut, sites demoted, the outcome, the summary.
+
+    Skip lines are shown for the `top` stages that cut most, and counted where a stage drops over `most` sites. Logs with
+    fewer than three lines of a funnel aren't funnels and give no row.
+    """
+    real = lines.groupBy(key).agg(F.count_if(F.col("line").rlike(FUNNEL_LINE)).alias("m"), F.min(F.when(F.col("line").rlike(FUNNEL_HEADER), F.col("line_no"))).alias("head")).filter(F.col("m") >= LEAST_MARKERS)
+    told = lines.join(real, key).withColumn("body", F.col("head").isNull() | (F.col("line_no") < F.col("head")))
+    at = lambda df, part, line, a=F.lit(0), b=None: df.select(key, F.lit(part).alias("part"), a.cast("double").alias("a"), (F.col("line_no") if b is None else b).cast("double").alias("b"), line.alias("line"))
+    rows, line = [], F.col("line")
+    titled = lambda df, part, title: [at(df.select(key).distinct(), part, F.lit(title), b=F.lit(-1)), at(df, part, line)]
+    if availability:
+        rows += titled(told.filter("body").filter(line.rlike(AVAILABLE)), 1, "## Data availability")
+    field = lambda i: F.regexp_extract("line", FUNNEL_ROW, i)
+    stages = told.filter(~F.col("body") & line.rlike(FUNNEL_ROW)).select(key, "head", "line_no", F.trim(field(4)).alias("name"), field(1).cast("int").alias("before"), field(2).cast("int").alias("after"), field(3).cast("double").alias("cut"))
+    stages = stages.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("cut"), "line_no")))
+    shown = F.max((F.col("place") <= top).cast("int")).over(Window.partitionBy(key, "name")) == 1
+    number = F.coalesce(*(F.nullif(F.regexp_extract("line", MILESTONE, i), F.lit("")) for i in (1, 2))).cast("int")
+    miles = told.filter("body").withColumn("n", number).filter("n is not null").groupBy(key, "n").agg(F.min("line_no").alias("at"))
+    ranged = stages.withColumn("shown", shown).join(miles.select(key, F.col("n").alias("before"), F.col("at").alias("low")), [key, "before"], "left").join(miles.select(key, F.col("n").alias("after"), F.col("at").alias("high")), [key, "after"], "left").withColumn("low", F.coalesce("low", F.lit(0))).withColumn("high", F.coalesce("high", "head"))
+    skips = told.filter("body").filter(F.lower("line").contains("skip site=")).select(key, "line_no", "line")
+    inside = ranged.filter("shown").select(key, "place", "low", "high", "before", "after").join(skips, key).filter("line_no between low and high")
+    counts = inside.groupBy(key, "place").agg(F.count("*").alias("skips"))
+    title = F.format_string("\n## Filter stage: %s  (%s%% cut, %d→%d candidates)", "name", F.bround("cut").cast("int").cast("string"), "before", "after")
+    note = (
+        F.when(~F.col("shown"), "  (skip lines not shown — not among the highest-impact stages)")
+        .when(F.col("skips").isNull(), "  (no per-site skip lines — sites filtered implicitly)")
+        .when(F.col("before") - F.col("after") > most, F.format_string("  (%d sites skipped — too many to list individually)", F.col("before") - F.col("after")))
+    )
+    full = ranged.join(counts, [key, "place"], "left").withColumn("note", note)
+    rows += [at(full, 2, title, F.col("place"), F.lit(-2)), at(full.filter("note is not null"), 2, F.col("note"), F.col("place"), F.lit(-1)), at(inside.filter(F.col("before") - F.col("after") <= most), 2, line, F.col("place"))]
+    rows += titled(told.filter("body").filter(line.rlike(problematic)), 3, "\n## Problematic sites")
+    used, none = told.filter("body").filter(line.rlike(USED)), told.filter(line.rlike(NONE_LEFT))
+    rows += [at(used.select(key).union(none.select(key)).distinct(), 4, F.lit("\n## Final selection"), b=F.lit(-1)), at(used, 4, line), at(none, 4, line, F.lit(1))]
+    rows += [at(told.filter("line_no = head"), 5, F.lit("\n## " + "=" * 40), b=F.lit(-1)), at(told.filter("not body"), 5, line)]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "a", "b", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+def filter_auto(lines: DataFrame, sources: DataFrame | None = None, key: str = "log_id") -> DataFrame:
+    """The filter that fits each log: a funnel's (by its source, prod or analysis, else as analysis), or the general one."""
+    named = lines.select(key).distinct().withColumn("source", F.lit("analysis")) if sources is None else sources.select(key, "source")
+    prod = lines.join(named.filter("source = 'prod'").select(key), key, "left_semi")
+    other = lines.join(named.filter("source = 'prod'").select(key), key, "left_anti")
+    funnels = render_funnel(other, key).unionByName(render_funnel(prod, key, availability=False))
+    return filtered_text(lines, key).join(funnels.select(key), key, "left_anti").unionByName(funnels)
+
+
 def log_source(label: Column) -> Column:
     """Which funnel a task's label means."""
     return F.when(label == "managed", "prod").otherwise("analysis")
