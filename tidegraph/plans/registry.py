@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegraph.functions import scalars
-from tidegraph.operators import classify, docs, graph, logs, privacy, telemetry, vectors
+from tidegraph.operators import classify, compare, docs, graph, logs, privacy, telemetry, vectors
 from tidegraph.plans import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,6 +159,68 @@ def graph_success_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.success_rates(t).withColumn("success_rate", F.round("success_rate", 6))
 
 
+PROCS = """proc AS (SELECT p_brand AS cause, p_type AS name, count(*) AS frequency FROM part GROUP BY 1, 2)"""
+
+
+def _procedures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Types of parts as procedures of their brands; those of PROMO are tentative."""
+    part = tables.table(spark, sf_dir, "part")
+    edges = part.groupBy(F.col("p_brand").alias("src"), F.col("p_type").alias("tgt")).agg(F.count("*").alias("frequency")).withColumns({"rel": F.lit("investigated_by"), "parameters": F.lit(None).cast("array<string>")})
+    status = F.when(F.col("p_type").contains("PROMO"), "tentative").otherwise("final")
+    return edges, part.select(F.col("p_type").alias("name"), F.to_json(F.struct(status.alias("status"), F.array("p_type").alias("signature"))).alias("metadata")).distinct()
+
+
+@query(f"""WITH {PROCS} SELECT cause, name, frequency FROM proc WHERE cause IN ('Brand#1', 'Brand#2') AND NOT contains(name, 'PROMO')""")
+def graph_find_procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Procedures of two causes, without tentative ones."""
+    return graph.find_procedures(*_procedures(spark, sf_dir), ["Brand#1", "Brand#2"]).select("cause", "name", "frequency")
+
+
+@query(f"""WITH {PROCS}, t AS (SELECT name, sum(frequency)::BIGINT AS frequency, array_to_string(list_sort(list(DISTINCT cause)), ',') AS causes FROM proc GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)
+SELECT * FROM t WHERE NOT contains(name, 'PROMO')""")
+def graph_all_procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most frequent procedures, then without tentative ones."""
+    return graph.all_procedures(*_procedures(spark, sf_dir), limit=5).select("name", "frequency", F.array_join("cause_names", ",").alias("causes"))
+
+
+@query(f"""WITH {OBS}, gone AS (SELECT max(graph_id) AS g FROM obs),
+hit AS (SELECT DISTINCT src_type, src, rel, tgt FROM obs, gone WHERE graph_id = g), rest AS (SELECT o.* FROM obs o, gone WHERE graph_id <> g),
+nodes AS (SELECT src_type AS t, src AS n FROM obs UNION SELECT tgt_type, tgt FROM obs), left_ AS (SELECT src_type AS t, src AS n FROM rest UNION SELECT tgt_type, tgt FROM rest)
+SELECT (SELECT count(*) FROM hit) AS rels_affected, (SELECT count(*) FROM nodes) - (SELECT count(*) FROM left_) AS nodes_removed""")
+def graph_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes with the last graph."""
+    obs = tables.edge_observations(spark, sf_dir)
+    nodes = obs.select(F.col("src_type").alias("node_type"), F.col("src").alias("name")).union(obs.select("tgt_type", "tgt")).distinct()
+    return graph.remove_graph(obs, nodes, [obs.agg(F.max("graph_id")).first()[0]])[2]
+
+
+@query(f"""WITH {OBS} SELECT graph_id, array_to_string(list_sort(list_filter(['Cause', 'Procedure', 'Component'], lambda x: NOT list_contains(t, x))), ',') AS missing
+FROM (SELECT graph_id, list(DISTINCT src_type) || list(DISTINCT tgt_type) AS t FROM obs GROUP BY 1)""")
+def graph_missing_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which required kinds each order's graph lacks; components stand for symptoms here."""
+    obs = tables.edge_observations(spark, sf_dir)
+    kind = F.when(F.col("src_type") == "Component", "Symptom").when(F.col("src_type") == "Symptom", "Other").otherwise(F.col("src_type"))
+    nodes = obs.select("graph_id", kind.alias("node_type")).union(obs.select("graph_id", "tgt_type"))
+    return graph.missing_parts(nodes).select("graph_id", F.array_join(F.array_sort(F.transform("missing", lambda x: F.when(x == "Symptom", "Component").otherwise(x))), ",").alias("missing"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, c_mktsegment AS segment, c_nationkey AS nation FROM customer),
+last AS (SELECT o_custkey AS id, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS value FROM orders GROUP BY 1)
+SELECT c.id, coalesce(l.value, c.segment) AS segment FROM c LEFT JOIN last l USING (id)""")
+def graph_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' segments set by their last order's priority."""
+    c = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    changes = tables.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("value"), F.struct("o_orderdate", "o_orderkey").alias("seq"))
+    return graph.override(c, changes, "segment", ["id"])
+
+
+@query("""SELECT o_custkey AS id, o_orderkey AS last FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus = 'F')::INT DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1""")
+def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' last orders, finished ones written after the others."""
+    o = tables.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("last"), (F.col("o_orderstatus") == "F").alias("f"))
+    return vectors.keep_last(o.filter("not f").drop("f"), o.filter("f").drop("f"), "id", "last")
+
+
 # vectors
 
 
@@ -463,3 +525,25 @@ SELECT host, event_id AS seq, place FROM s WHERE (place - 1) % ceil(n / 10)::BIG
 def accelerator_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """About ten samples of each host."""
     return telemetry.downsample(tables.samples(spark, sf_dir), "host", "seq", 10).select("host", "seq", "place")
+
+
+@query("""WITH s AS (SELECT user_id AS host, event_id, CASE event_type WHEN 'click' THEN 'gpu-full' WHEN 'view' THEN 'cpu' ELSE 'gpu-partial' END AS state FROM events)
+SELECT host, count(*) AS n, count(*) FILTER (state = 'gpu-full') AS n_gpu_full, count(*) FILTER (state = 'cpu') AS n_cpu, min(event_id) FILTER (state = 'cpu') AS first_off, floor(count(*) FILTER (state LIKE 'gpu%') * 100 / count(*))::INT AS gpu_percent FROM s GROUP BY 1""")
+def accelerator_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of states of each host."""
+    state = F.when(F.col("state") == "click", "gpu-full").when(F.col("state") == "view", "cpu").otherwise("gpu-partial")
+    return telemetry.state_report(tables.samples(spark, sf_dir).withColumn("state", state)).select("host", "n", "n_gpu_full", "n_cpu", "first_off", "gpu_percent")
+
+
+@query()
+def log_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in twos by their numbers, as logs of a failed and a successful run."""
+    d = tables.table(spark, sf_dir, "documents")
+    pair = F.floor(F.col("doc_id") / 2).cast("long").alias("pair_id")
+    return compare.compare_logs(d.groupBy(pair).agg(F.min_by("text", "doc_id").alias("failed"), F.max_by("text", "doc_id").alias("successful")))
+
+
+@query(f"""WITH {LINES} SELECT log_id, line_no, trim(regexp_extract(line, '^\\s*={{3,}}\\s*(\\S.*?\\S|\\S)\\s*={{3,}}\\s*$', 1)) AS section FROM lines WHERE regexp_matches(line, '^\\s*={{3,}}\\s*(\\S.*?\\S|\\S)\\s*={{3,}}\\s*$')""")
+def log_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section markers of all documents."""
+    return logs.markers(tables.log_lines(spark, sf_dir))
