@@ -384,3 +384,36 @@ def test_every_oracle_has_a_query():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    import datetime
+
+    from tidegraph.streaming import telemetry as stream
+
+    t = datetime.datetime(2024, 1, 1, 10, 5)
+    rows = [(t, "a", 1.0), (t + datetime.timedelta(minutes=50), "a", 2.0), (t + datetime.timedelta(minutes=60), "a", 4.0)]
+    spark.createDataFrame(rows, "ts timestamp_ntz, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    events = stream.replay(spark, str(tmp_path / "in"), "ts timestamp_ntz, event_type string, value double")
+    got = stream.to_table(stream.event_windows(events), "complete").orderBy("start").collect()
+    assert [(r["n"], r["total"]) for r in got] == [(2, 3.0), (1, 4.0)]
+
+
+def test_posts_of_allowed_channels(spark):
+    from tidegraph.streaming import telemetry as stream
+
+    raw = [{"event": "posted", "data": {"channel": "c", "user": "u", "root_id": "", "id": "1", "message": "hi"}}, {"event": "posted", "data": {"channel": "c", "user": "me", "root_id": "1", "id": "2", "message": "own"}}, {"event": "typing", "data": {"channel": "c"}}, {"event": "posted", "data": {"channel": "other", "user": "u", "id": "3"}}]
+    df = spark.createDataFrame([(json.dumps(x),) for x in raw] + [("junk",)], "value string")
+    assert [tuple(r) for r in stream.posts(df, ["c"], "me").collect()] == [("1", "u", "hi")]
+
+
+def test_query_blocks_find_the_same(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    points = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)], "a" if i % 2 else "b") for i in range(60)], "id long, embedding array<double>, section string")
+    q = points.withColumnRenamed("id", "qid")
+    whole = sorted(map(tuple, vectors.batch_search(points, q, 3).collect()))
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    assert sorted(map(tuple, vectors.batch_search(points, q, 3).collect())) == whole
+    assert len(whole) == 180

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +25,12 @@ def ready(spark: SparkSession) -> None:
                 z.write(f, f.relative_to(top.parent))
         spark.sparkContext.addPyFile(f"{at}/{top.name}.zip")
         _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name under spark.checkpoint.dir; only where that is unset (tests) a temporary folder is set."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        top = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.sparkContext.setCheckpointDir(top)
+    return f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"

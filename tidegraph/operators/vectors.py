@@ -49,10 +49,13 @@ def batch_search(points: DataFrame, queries: DataFrame, k: int = 5, threshold: f
     """
     spark = points.sparkSession
     ready(spark)
-    blocks = queries.select("qid", "embedding", "section").repartitionByRange(max(1, -(-queries.count() // QUERY_BLOCK)), "qid").withColumn("block", F.spark_partition_id())
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    blocks = queries.select("qid", "embedding", "section").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(n)))
     out = None
-    for b in sorted(r["block"] for r in blocks.select("block").distinct().collect()):
+    for b in range(n):
         part = blocks.filter(F.col("block") == b).toPandas()
+        if not len(part):
+            continue
         unit, good = _normal(part["embedding"].tolist())
         sent = spark.sparkContext.broadcast((part["qid"].to_numpy()[good], unit[good], part["section"].to_numpy()[good]))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidegraph.functions import scalars
 from tidegraph.operators import classify, compare, docs, graph, logs, privacy, telemetry, vectors
 from tidegraph.plans import tables
+from tidegraph.streaming import telemetry as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -547,3 +548,25 @@ def log_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section markers of all documents."""
     return logs.markers(tables.log_lines(spark, sf_dir))
+
+
+# streams
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = tables.table(spark, sf_dir, "events").schema
+    return stream.replay(spark, sf_dir, schema, only="events.parquet")
+
+
+@query("""SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly windows of all events, as a stream."""
+    w = stream.to_table(stream.event_windows(_events(spark, sf_dir)), "complete")
+    return w.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""SELECT host, seq, before, state FROM (SELECT user_id::VARCHAR AS host, event_id AS seq, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before, event_type AS state FROM events) WHERE before IS DISTINCT FROM state""")
+def stream_state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of each user's event type, with state kept by the stream."""
+    s = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("host"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"))
+    return stream.to_table(stream.state_changes(s), "append")

@@ -8,11 +8,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
+from tidegraph.functions.workers import ready, shared_dir
 
-def replay(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
+
+def replay(spark: SparkSession, path: str, schema: str | StructType, files: int = 1, only: str = "*.parquet") -> DataFrame:
     """Parquet files of a folder as a stream, so many at a time."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", only).parquet(path)
+
+
+def to_table(stream: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over what is there now and returns what it wrote, as a table in the shared folder.
+
+    Complete results replace the table with each batch; appended rows go to a folder of their batch, written again
+    as a whole when a batch is repeated.
+    """
+    spark = stream.sparkSession
+    ready(spark)
+    path = shared_dir(spark)
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={n}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(*stream.columns)
 
 
 def event_windows(events: DataFrame, every: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -27,6 +48,8 @@ def state_changes(samples: DataFrame, timeout: str = "NoTimeout") -> DataFrame:
     The last state of each host is kept between batches; rows of a batch are taken in the order of seq.
     """
 
+    ready(samples.sparkSession)
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         before = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values("seq")
