@@ -60,7 +60,7 @@ def normalise_more(line: Column) -> Column:
 
 def split_lines(logs: DataFrame, text: str = "text", key: str = "log_id") -> DataFrame:
     """Whole logs -> (log_id, line_no from 0, line); a final line end starts no line; null and empty logs have none."""
-    ends = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+    ends = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
     body = F.regexp_replace(F.col(text), f"(?:{ends})\\z", "")
     return logs.filter(F.length(text) > 0).select(key, F.posexplode(F.split(body, ends)).alias("line_no", "line"))
 

@@ -23,7 +23,7 @@ def read_json_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_id_list(spark: SparkSession, path: str, names: Sequence[str] = ID_COLUMNS) -> DataFrame:
     """A CSV with a header -> task_id, from the first column of a known name whatever its case."""
     rows = spark.read.option("header", True).csv(path)
-    known = {c.lstrip("﻿").strip().lower(): c for c in rows.columns}
+    known = {c.lstrip("\ufeff").strip().lower(): c for c in rows.columns}
     column = next((known[n] for n in names if n in known), None)
     if column is None:
         raise ValueError(f"none of {', '.join(names)} among {', '.join(rows.columns)}")
