@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.functions.scalars import uuid5
-from tidegraph.functions.workers import ready
+from tidegraph.functions.workers import ready, stored
 
 # fixed values: the usual constants of Okapi ranking
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -108,16 +108,18 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, min_score: float = 0.
     """docs (id, text), queries (qid, text) -> qid, id, score (over the query's best), rank: Okapi ranking over words split at white space.
 
     Frequencies of all words make the floor for words in over half the documents; postings are then restricted to
-    the queries' words before any join with queries. A word of a query counts as often as it stands there.
+    the queries' words before any join with queries. A word of a query counts as often as it stands there. The counts
+    of words by document are written once, since frequencies, lengths and postings all come from them.
     """
     words = lambda df, key: df.select(key, F.explode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("w"))
-    tf = words(docs, "id").groupBy("id", "w").agg(F.count("*").alias("tf"))
-    lengths = docs.select("id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).alias("len"))
-    n, mean = lengths.agg(F.count("*"), F.avg("len")).first()
-    if not n:
+    tf = stored(words(docs, "id").groupBy("id", "w").agg(F.count("*").alias("tf")))
+    n, total = docs.count(), tf.agg(F.sum("tf")).first()[0] or 0
+    if not total:
         return docs.select("id").limit(0).crossJoin(queries.select("qid").limit(0)).select("qid", "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    mean = total / n
+    lengths = tf.groupBy("id").agg(F.sum("tf").alias("len"))
     idf = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    df = tf.groupBy("w").agg(F.count("*").alias("df")).withColumn("idf", idf)
+    df = stored(tf.groupBy("w").agg(F.count("*").alias("df")).withColumn("idf", idf))
     floor = EPSILON * (df.agg(F.avg("idf")).first()[0] or 0.0)
     asked = words(queries, "qid").groupBy("qid", "w").agg(F.count("*").alias("qf"))
     weight = df.join(asked.select("w").distinct(), "w", "left_semi").withColumn("idf", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")))

@@ -36,21 +36,21 @@ def merge_nodes(existing: DataFrame, new: DataFrame, order: str = "seq") -> Data
 def merge_edges(observations: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Observations -> edges with graph_ids (sorted), frequency (distinct graphs), confidence (mean over graphs), parameters.
 
-    A graph counts once per edge, by its first observation; a blank graph_id adds no provenance. With nodes, an edge
+    A graph counts once per edge, by its first observation (seq is unique there); a blank graph_id adds no provenance. With nodes, an edge
     needs both ends there. Both levels of grouping combine before they shuffle.
     """
     if nodes is not None:
         ends = nodes.select(F.col("node_type"), F.col("name")).distinct()
         for side in ("src", "tgt"):
             observations = observations.join(ends.select(F.col("node_type").alias(f"{side}_type"), F.col("name").alias(side)), [f"{side}_type", side], "left_semi")
-    told = F.trim(F.coalesce("graph_id", F.lit(""))) != ""
-    once = observations.withColumn("graph_id", F.when(told, F.col("graph_id"))).groupBy(*EDGE, "graph_id").agg(F.min_by(F.struct("confidence", "parameters"), F.struct("seq", "confidence")).alias("o"))
-    return once.groupBy(*EDGE).agg(
-        F.sort_array(F.collect_list("graph_id")).alias("graph_ids"),
-        F.count("graph_id").alias("frequency"),
-        F.avg("o.confidence").alias("confidence"),
-        F.array_sort(F.collect_list("o.parameters")).alias("parameters"),
-    )
+    told = observations.withColumn("graph_id", F.trim(F.coalesce("graph_id", F.lit(""))))
+    once = told.groupBy(*EDGE, "graph_id").agg(F.min_by("confidence", "seq").alias("confidence"), F.min("seq").alias("seq"))
+    given = F.nullif("graph_id", F.lit(""))
+    edges = once.groupBy(*EDGE).agg(F.sort_array(F.collect_list(given)).alias("graph_ids"), F.count(given).alias("frequency"), F.avg("confidence").alias("confidence"))
+    # texts keep an aggregate from hashing, so that parameters go their own way; few observations have any
+    first = told.filter("parameters is not null").join(once.select(*EDGE, "graph_id", "seq"), [*EDGE, "graph_id", "seq"], "left_semi")
+    parameters = first.groupBy(*EDGE).agg(F.array_sort(F.collect_list("parameters")).alias("parameters"))
+    return edges.join(parameters, EDGE, "left").withColumn("parameters", F.coalesce("parameters", F.array().cast("array<string>")))
 
 
 def remove_graph(observations: DataFrame, nodes: DataFrame, graph_ids: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -180,9 +180,9 @@ def all_procedures(edges: DataFrame, procedures: DataFrame, limit: int = 50, inc
 
 
 def common_pattern(observations: DataFrame, graph_ids: DataFrame | None = None, least: int = 2) -> DataFrame:
-    """Edges that at least `least` of the graphs (all, or those listed) share: with occurrences and mean confidence."""
+    """Edges that at least `least` of the graphs (all, or those listed) share: with occurrences and mean confidence. seq is unique within an edge and graph."""
     some = observations if graph_ids is None else observations.join(graph_ids.select("graph_id").distinct(), "graph_id", "left_semi")
-    once = some.groupBy(*EDGE, "graph_id").agg(F.min_by("confidence", F.struct("seq", "confidence")).alias("confidence"))
+    once = some.groupBy(*EDGE, "graph_id").agg(F.min_by("confidence", "seq").alias("confidence"))
     return once.groupBy(*EDGE).agg(F.count("*").alias("occurrences"), F.avg("confidence").alias("confidence")).filter(F.col("occurrences") >= least)
 
 

@@ -19,14 +19,14 @@ SALT = "salt"
 
 OBS = """
 joined AS (
-  SELECT l_orderkey, l_linenumber, l_discount, l_returnflag, o_orderpriority, p_brand, p_type, s_name, n_name
+  SELECT l_orderkey, l_linenumber * 100000000000000 + l_partkey * 10000000 + l_suppkey AS seq, l_discount, l_returnflag, o_orderpriority, p_brand, p_type, s_name, n_name
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
   JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
 obs AS (
-  SELECT 'Symptom' AS src_type, o_orderpriority AS src, 'indicate' AS rel, 'Cause' AS tgt_type, p_brand AS tgt, l_orderkey::VARCHAR AS graph_id, l_discount AS confidence, l_linenumber AS seq FROM joined
-  UNION ALL SELECT 'Task_Feature', p_type, 'contribute_to', 'Cause', p_brand, l_orderkey::VARCHAR, l_discount, l_linenumber FROM joined
-  UNION ALL SELECT 'Environment', n_name, 'contribute_to', 'Cause', p_brand, l_orderkey::VARCHAR, l_discount, l_linenumber FROM joined
-  UNION ALL SELECT 'Component', s_name, 'originated_from', 'Cause', p_brand, l_orderkey::VARCHAR, l_discount, l_linenumber FROM joined WHERE l_returnflag = 'R'),
+  SELECT 'Symptom' AS src_type, o_orderpriority AS src, 'indicate' AS rel, 'Cause' AS tgt_type, p_brand AS tgt, l_orderkey::VARCHAR AS graph_id, l_discount AS confidence, seq FROM joined
+  UNION ALL SELECT 'Task_Feature', p_type, 'contribute_to', 'Cause', p_brand, l_orderkey::VARCHAR, l_discount, seq FROM joined
+  UNION ALL SELECT 'Environment', n_name, 'contribute_to', 'Cause', p_brand, l_orderkey::VARCHAR, l_discount, seq FROM joined
+  UNION ALL SELECT 'Component', s_name, 'originated_from', 'Cause', p_brand, l_orderkey::VARCHAR, l_discount, seq FROM joined WHERE l_returnflag = 'R'),
 once AS (SELECT src_type, src, rel, tgt_type, tgt, graph_id, arg_min(confidence, (seq, confidence)) AS confidence FROM obs GROUP BY ALL)
 """
 LINES = r"""

@@ -20,7 +20,7 @@ def edge_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     clue = lambda kind, name, rel, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(kind).alias("src_type"), F.col(name).alias("src"), F.lit(rel).alias("rel")))
     clues = F.filter(F.array(clue("Symptom", "o_orderpriority", "indicate"), clue("Task_Feature", "p_type", "contribute_to"), clue("Environment", "n_name", "contribute_to"), clue("Component", "s_name", "originated_from", F.col("l_returnflag") == "R")), lambda x: x.isNotNull())
-    return joined.select(F.explode(clues).alias("c"), "p_brand", "l_orderkey", "l_discount", "l_linenumber").select("c.*", F.lit("Cause").alias("tgt_type"), F.col("p_brand").alias("tgt"), F.col("l_orderkey").cast("string").alias("graph_id"), F.col("l_discount").alias("confidence"), F.lit(None).cast("string").alias("parameters"), F.col("l_linenumber").cast("long").alias("seq"))
+    return joined.select(F.explode(clues).alias("c"), "p_brand", "l_orderkey", "l_discount", "l_linenumber", "l_partkey", "l_suppkey").select("c.*", F.lit("Cause").alias("tgt_type"), F.col("p_brand").alias("tgt"), F.col("l_orderkey").cast("string").alias("graph_id"), F.col("l_discount").alias("confidence"), F.lit(None).cast("string").alias("parameters"), (F.col("l_linenumber") * 10**14 + F.col("l_partkey") * 10**7 + F.col("l_suppkey")).alias("seq"))
 
 
 def causes(spark: SparkSession, sf_dir: str) -> DataFrame:
