@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -386,6 +387,51 @@ def test_near_copies_are_dropped(spark, docs, none):
     assert simhash.without_near_copies(none).count() == 0
 
 
+def test_crowded_buckets_lose_no_near_copy(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(14):  # orders of the same words: near fingerprints, no common shingles; each in three near copies
+        rng.shuffle(words)
+        for j in range(3):
+            w = list(words)
+            for p in rng.sample(range(300), j * (i % 3)):
+                w[p] = f"new{i}{j}"
+            rows.append((len(rows), " ".join(w), "en", "a", 1, 1, 1.0, 1, "", 1))
+    rng.shuffle(rows)
+    sets = {r[0]: simhash.shingle_set(r[1]) for r in rows}
+    prints = {r[0]: simhash.word_set(r[1])[1:] for r in rows}
+
+    def linked(a, b):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        close = min((x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True)) <= 5
+        return close and common >= 0.8 * (len(sets[a]) + len(sets[b]) - common)
+
+    root = components(sets, linked)
+    got = {r["doc_id"]: r["keep_id"] for r in simhash.near_copies(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert got == root
+    assert len(set(root.values())) < len(rows)
+
+
+def test_pairs_of_crowded_buckets_over_batches():
+    rng = np.random.default_rng(5)
+    fp = np.arange(40, dtype=np.int64)
+    variant, root = np.repeat([1, 2, 3, 4], 10), np.sort(rng.integers(0, 4, (4, 10)), axis=1).ravel()
+    fp[20:30] <<= 40  # far apart
+    table = pa.table({"variant": variant, "root": root, "cid": np.arange(40) + 100, "fp": fp})
+    for size in (3, 10, 40):
+        got = [(x, y) for b in simhash._apart(4, block=4)(iter(table.to_batches(size))) for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True)]
+        want = {(b + 100, a + 100) for a in range(40) for b in range(a) if variant[a] == variant[b] and root[a] != root[b] and (int(fp[a]) ^ int(fp[b])).bit_count() <= 4}
+        assert {(max(p), min(p)) for p in want} == set(got)
+        assert len(got) == len(want)
+    told = pa.table({"variant": np.repeat([5, 6], [4, 9]), "fp": np.arange(13)})
+    for size in (1, 2, 5, 13):
+        rows = [r for b in simhash._candidates(64)(iter(told.to_batches(size))) for r in b.to_pylist()]
+        assert sorted(r["u"] for r in rows if r["v"] is None) == list(range(4, 13))
+        assert {r["variant"] for r in rows if r["v"] is None} == {6}
+        assert {(r["u"], r["v"]) for r in rows if r["v"] is not None} >= {(b, a) for a in range(4) for b in range(a + 1, 4)}
+
+
 # language model
 
 
