@@ -7,7 +7,6 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -387,7 +386,9 @@ def test_near_copies_are_dropped(spark, docs, none):
     assert simhash.without_near_copies(none).count() == 0
 
 
-def test_crowded_buckets_lose_no_near_copy(spark):
+@pytest.mark.parametrize("tile", [8192, 9])
+def test_clusters_lose_no_near_copy(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE_SETS", tile)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(300)]
     rows = []
@@ -413,23 +414,21 @@ def test_crowded_buckets_lose_no_near_copy(spark):
     assert len(set(root.values())) < len(rows)
 
 
-def test_pairs_of_crowded_buckets_over_batches():
-    rng = np.random.default_rng(5)
-    fp = np.arange(40, dtype=np.int64)
-    variant, root = np.repeat([1, 2, 3, 4], 10), np.sort(rng.integers(0, 4, (4, 10)), axis=1).ravel()
-    fp[20:30] <<= 40  # far apart
-    table = pa.table({"variant": variant, "root": root, "cid": np.arange(40) + 100, "fp": fp})
-    for size in (3, 10, 40):
-        got = [(x, y) for b in simhash._apart(4, block=4)(iter(table.to_batches(size))) for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True)]
-        want = {(b + 100, a + 100) for a in range(40) for b in range(a) if variant[a] == variant[b] and root[a] != root[b] and (int(fp[a]) ^ int(fp[b])).bit_count() <= 4}
-        assert {(max(p), min(p)) for p in want} == set(got)
-        assert len(got) == len(want)
-    told = pa.table({"variant": np.repeat([5, 6], [4, 9]), "fp": np.arange(13)})
-    for size in (1, 2, 5, 13):
-        rows = [r for b in simhash._candidates(64)(iter(told.to_batches(size))) for r in b.to_pylist()]
-        assert sorted(r["u"] for r in rows if r["v"] is None) == list(range(4, 13))
-        assert {r["variant"] for r in rows if r["v"] is None} == {6}
-        assert {(r["u"], r["v"]) for r in rows if r["v"] is not None} >= {(b, a) for a in range(4) for b in range(a + 1, 4)}
+@pytest.mark.parametrize("first", [None, 25])
+def test_shingle_links_against_brute_force(first):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.choice(30 if i % 3 else 12, rng.integers(0, 14))).astype(np.int64) + i % 4 * 5 for i in range(70)]
+
+    def linked(a, b):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        across = first is None or a < first <= b
+        return across and common >= 0.5 * (len(sets[a]) + len(sets[b]) - common)
+
+    want = components(range(70), linked)
+    for block, columns in ((512, 8192), (8, 4), (25, 3)):
+        got = simhash.shingle_links(sets, 0.5, first, block, columns)
+        assert got.tolist() == [want[i] for i in range(70)]
+    assert len(simhash.shingle_links([], 0.5)) == 0
 
 
 # language model

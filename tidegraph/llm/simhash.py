@@ -16,6 +16,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,115 +204,85 @@ def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, cuts), np.uint64, len(starts)))
 
 
-def _candidates(radius: int):
-    """Sorted (variant, fp) batches -> pairs (u, v) to verify: all of a bucket of up to 4, else each with its neighbours and with the bucket's first.
-
-    Fingerprints of a bucket of more than 4 also come as rows (variant, u) without v.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_v = last_first = None
-        tail = np.zeros(0, np.uint64)
-        seen = 0
-        for batch in batches:
-            v = batch.column(0).to_numpy(zero_copy_only=False)
-            f = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            if not len(v):
-                continue
-            carried = len(tail) if last_v == v[0] else 0
-            if carried:
-                v, f = np.concatenate([np.full(carried, v[0]), v]), np.concatenate([tail[-carried:], f])
-            starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-            sizes = np.diff(np.append(starts, len(v)))
-            head = np.repeat(f[starts], sizes)
-            rank = np.arange(len(v)) - np.repeat(starts, sizes)
-            if carried:
-                head[v == v[0]] = last_first
-                rank[v == v[0]] += seen - carried
-            made = [(f, head)]
-            for step in (1, 2, 3):
-                same = np.flatnonzero(v[step:] == v[:-step])
-                made.append((f[same], f[same + step]))
-            a, b = np.concatenate([x for x, _ in made]), np.concatenate([y for _, y in made])
-            near = (a != b) & (distance(a, b) <= radius)
-            pairs = np.unique(np.stack([np.maximum(a[near], b[near]), np.minimum(a[near], b[near])], axis=1), axis=0).view(np.int64)
-            new = np.arange(len(v)) >= carried
-            fifth, beyond = np.flatnonzero(new & (rank == 4)), np.flatnonzero(new & (rank >= 4))
-            # the fifth of a bucket also tells of the four before it
-            member = np.concatenate([f[beyond], head[fifth], *(f[fifth - step] for step in (1, 2, 3))]).view(np.int64)
-            bucket = np.concatenate([v[beyond], *[v[fifth]] * 4])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(bucket)]),
-                    pa.concat_arrays([pa.array(pairs[:, 0].copy()), pa.array(member)]),
-                    pa.concat_arrays([pa.array(pairs[:, 1].copy()), pa.nulls(len(member), pa.int64())]),
-                ],
-                names=["variant", "u", "v"],
-            )
-            last_v, last_first, seen = v[-1], head[-1], int(rank[-1]) + 1
-            tail = f[v == v[-1]][-3:]
-
-    return run
-
+def _dense(col: np.ndarray, row: np.ndarray, part: np.ndarray, rows: int) -> np.ndarray:
+    """0/1 matrix of rows against the sorted columns `part`."""
+    at = np.searchsorted(part, col)
+    at[at == len(part)] = 0
+    hit = part[at] == col
+    out = np.zeros((rows, len(part)), np.float32)
+    out[row[hit], at[hit]] = 1
+    return out
 
-def _apart(radius: int, block: int = 1024):
-    """Rows (variant, root, cid, fp) sorted by variant and root -> pairs (x, y) of a bucket's classes within the radius that have different roots."""
 
-    def pairs(root: np.ndarray, cid: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(fp), block):
-            for j in range(i, len(fp), block):
-                if root[i] == root[min(j + block, len(fp)) - 1]:
-                    continue  # sorted: all of both blocks hang together
-                a, b = np.nonzero((distance(fp[i : i + block, None], fp[None, j : j + block]) <= radius) & (root[i : i + block, None] < root[None, j : j + block]))
-                x, y = cid[i + a], cid[j + b]
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["x", "y"])
+def shingle_links(sets: list[np.ndarray], similarity: float, first: int | None = None, block: int = 512, columns: int = 8192) -> np.ndarray:
+    """Label (smallest index reachable) of each set over pairs of at least this Jaccard similarity; with `first`, only pairs across that index count.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            v, root, cid, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            edges = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1], [True]))) if len(v) else [0]
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                if held and held[0][0] != v[s]:
-                    yield from pairs(*(np.concatenate([h[k] for h in held]) for k in (1, 2, 3)))
-                    held = []
-                held.append((v[s], root[s:e], cid[s:e], fp[s:e].view(np.uint64)))
-        if held:
-            yield from pairs(*(np.concatenate([h[k] for h in held]) for k in (1, 2, 3)))
+    Block against block: common shingles are a matrix product over those that both blocks hold. Blocks that hang together
+    already are skipped.
+    """
+    m = len(sets)
+    sizes = np.array([len(x) for x in sets], np.float64)
+    owner = np.repeat(np.arange(m), sizes.astype(np.int64))
+    _, col, n = np.unique(np.concatenate(sets) if m else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+    shared = n[col] > 1  # what one set alone holds is in no intersection
+    col, owner = col[shared], owner[shared]
+    edge = np.searchsorted(owner, np.arange(0, m + block, block))
+    label = np.arange(m)
+    for i in range(0, m, block):
+        for j in range(i, m, block):
+            x, y = label[i : i + block], label[j : j + block]
+            if (x == x[0]).all() and (y == x[0]).all():
+                continue
+            if first is not None and (i >= first or j + block <= first):
+                continue
+            (ca, ra), (cb, rb) = ((col[edge[k // block] : edge[k // block + 1]], owner[edge[k // block] : edge[k // block + 1]] - k) for k in (i, j))
+            both = np.intersect1d(ca, cb)
+            common = np.zeros((len(x), len(y)), np.float64)
+            for at in range(0, len(both), columns):
+                part = both[at : at + columns]
+                common += _dense(ca, ra, part, len(x)) @ _dense(cb, rb, part, len(y)).T
+            a, b = np.nonzero(common >= similarity * (sizes[i : i + block, None] + sizes[None, j : j + block] - common))
+            a, b = a + i, b + j
+            wanted = a < b if first is None else (a < first) & (b >= first)
+            a, b = label[a[wanted]], label[b[wanted]]
+            a, b = a[a != b], b[a != b]
+            if len(a):
+                to = np.arange(m)
+                for p, q in _spread(np.arange(m), a, b):
+                    to[p] = q
+                label = to[label]
+    return label
+
+
+def _tile_links(similarity: float):
+    """All shingle sets of two tiles of a cluster (or of one) -> links (u, v): a spanning forest of the similar pairs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("tile", "ascending"), ("k", "ascending")])
+        tile, k = table.column("tile").to_numpy(), table.column("k").to_numpy()
+        flat = table.column("s").combine_chunks()
+        values, ends = flat.flatten().to_numpy(), np.cumsum(pc.list_value_length(flat).to_numpy())
+        crossing = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        label = shingle_links(np.split(values, ends[:-1]), similarity, int((tile == tile[0]).sum()) if crossing else None)
+        far = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"u": k[far], "v": k[label[far]]})
 
     return run
 
 
-def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Pairs (x, y) of classes -> links (u, v): those whose sets of `words`-word shingles have at least this Jaccard similarity."""
-    wanted = stored(pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct().join(classes.select("cid", "least"), "cid").select(F.col("cid").alias("want"), "least"))
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                texts, want = piece.column("text").to_pylist(), piece.column("want").to_pylist()
-                right = [i for i, t in enumerate(texts) if np.array([word_set_hash(t)], np.uint64).view(np.int64)[0] == want[i]]
-                made = [shingle_set(texts[i], words).view(np.int64) for i in right]
-                yield pa.RecordBatch.from_arrays([pa.array([want[i] for i in right], pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["k", "s"])
-
-    held = texts.join(maybe_broadcast(wanted, 500_000), F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "want").mapInArrow(shingles, "k long, s array<long>")
-    held = stored(held.dropDuplicates(["k"]))
-    both = pairs.join(held.select(F.col("k").alias("x"), F.col("s").alias("s1")), "x").join(held.select(F.col("k").alias("y"), F.col("s").alias("s2")), "y")
-    common = F.size(F.array_intersect("s1", "s2"))
-    return both.filter(common >= similarity * (F.size("s1") + F.size("s2") - common)).select(F.col("x").alias("u"), F.col("y").alias("v"))
+#: A tile of a cluster holds about so many shingles and so many sets.
+TILE_SHINGLES, TILE_SETS = 2_000_000, 8192
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 5, parts: int = 4, kept: int = 2) -> DataFrame:
     """docs (doc_id, text) -> doc_id, cid, keep_id, root: which document stays of each group (root) of near copies.
 
     Texts of the same words in the same order are one class (cid). Classes whose SimHash over the set of words is
-    within the radius, by either of two independent fingerprints, are candidates from ball hashing; a candidate pair
-    links if the Jaccard similarity of its sets of `words`-word shingles is at least `similarity`. keep_id is the
-    smallest doc_id of the group. A first round compares each member of a bucket of more than 4 fingerprints with its
-    neighbours and the bucket's first, and one class of each fingerprint; a second compares all pairs of these buckets
-    and fingerprints that the first left in different groups. So no candidate is lost, and a group of near copies
-    gives as many candidates as rows, not as pairs. Null text: like empty.
+    within the radius, by either of two independent fingerprints, are one cluster; its links come from ball hashing and
+    none is lost. Within a cluster classes link if the Jaccard similarity of their sets of `words`-word shingles is at
+    least `similarity`: all of them are compared, tile by tile, and only a spanning forest of the links leaves a task. A
+    tile is bounded, so a cluster of any size runs in bounded memory; one of n tiles is read n times. keep_id is the smallest
+    doc_id of the group. Null text: like empty.
     """
     spark = docs.sparkSession
     lean_batches(spark)
@@ -322,36 +293,34 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius
                 got = np.array([word_set(t) for t in piece.column("text").to_pylist()], dtype=np.uint64).reshape(-1, 3).view(np.int64)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(got[:, i].copy()) for i in range(3))], names=["doc_id", "cid", "a", "b"])
 
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                texts, want = piece.column("text").to_pylist(), piece.column("want").to_pylist()
+                right = [i for i, t in enumerate(texts) if np.array([word_set_hash(t)], np.uint64).view(np.int64)[0] == want[i]]
+                made = [shingle_set(texts[i], words).view(np.int64) for i in right]
+                yield pa.RecordBatch.from_arrays([pa.array([want[i] for i in right], pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["k", "s"])
+
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = stored(texts.mapInArrow(sets, "doc_id long, cid long, a long, b long"))
     classes = stored(marked.groupBy("cid").agg(F.min("doc_id").alias("least"), F.first("a").alias("a"), F.first("b").alias("b")))
-    pairs, crowds = [], []
+    near = []
     for side in ("a", "b"):
         prints = stored(classes.groupBy(F.col(side).alias("fp")).agg(F.min("cid").alias("first"), F.count("*").alias("n")))
-        variants = prints.select("fp").mapInArrow(_variants(choices(radius, parts, kept)), "variant long, fp long")
-        found = stored(variants.repartition("variant").sortWithinPartitions("variant", "fp").mapInArrow(_candidates(radius), "variant long, u long, v long"))
-        near = found.filter("v is not null").select("u", "v").distinct()
-        near = near.join(maybe_broadcast(prints.select(F.col("fp").alias("u"), F.col("first").alias("x"), F.col("n").alias("nu"))), "u")
-        near = stored(near.join(maybe_broadcast(prints.select(F.col("fp").alias("v"), F.col("first").alias("y"), F.col("n").alias("nv"))), "v"))
-        equal = classes.select("cid", F.col(side).alias("fp")).join(maybe_broadcast(prints.filter("n > 1").select("fp", "first")), "fp").filter("cid <> first").select(F.col("cid").alias("x"), F.col("first").alias("y"))
-        pairs += [near.select("x", "y"), equal]
-        several = near.filter("nu > 1 or nv > 1").select(F.xxhash64("u", "v").alias("variant"), F.explode(F.array("u", "v")).alias("fp"))
-        alike = prints.filter("n > 2").select(F.xxhash64("fp").alias("variant"), "fp")
-        crowds.append((side, found.filter("v is null").select("variant", F.col("u").alias("fp")).unionByName(several).unionByName(alike)))
-    pairs = stored(reduce(DataFrame.unionByName, pairs).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
-    nodes = connected_components(_verified(texts, classes, pairs, similarity, words))
-    grouped = stored(classes.join(nodes, F.col("cid") == F.col("node"), "left").select("cid", "least", "a", "b", F.coalesce("component", "cid").alias("root")))
-    rest = []
-    for side, crowd in crowds:
-        members = crowd.join(grouped.select(F.col(side).alias("fp"), "cid", "root"), "fp").select("variant", "root", "cid", "fp")
-        rest.append(members.repartition("variant").sortWithinPartitions("variant", "root").mapInArrow(_apart(radius), "x long, y long"))
-    rest = stored(reduce(DataFrame.unionByName, rest).distinct().join(pairs, ["x", "y"], "left_anti"))
-    if rest.limit(1).count():
-        roots = grouped.select("cid", "root")
-        more = _verified(texts, classes, rest, similarity, words)
-        more = more.join(roots.select(F.col("cid").alias("u"), F.col("root").alias("ru")), "u").join(roots.select(F.col("cid").alias("v"), F.col("root").alias("rv")), "v")
-        nodes = connected_components(more.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
-        grouped = stored(grouped.join(nodes, F.col("root") == F.col("node"), "left").select("cid", "least", F.coalesce("component", "root").alias("root")))
+        found = stored(fingerprint_links(prints.select("fp"), radius, parts, kept))
+        found = found.join(maybe_broadcast(prints.select(F.col("fp").alias("u"), F.col("first").alias("x"))), "u").join(maybe_broadcast(prints.select(F.col("fp").alias("v"), F.col("first").alias("y"))), "v")
+        equal = classes.select("cid", F.col(side).alias("fp")).join(maybe_broadcast(prints.filter("n > 1").select("fp", "first")), "fp").filter("cid <> first")
+        near += [found.select(F.col("x").alias("u"), F.col("y").alias("v")), equal.select(F.col("cid").alias("u"), F.col("first").alias("v"))]
+    cluster = stored(connected_components(reduce(DataFrame.unionByName, near)).groupBy(F.col("node").alias("k")).agg(F.min("component").alias("cluster")))
+    wanted = stored(cluster.join(classes.select(F.col("cid").alias("k"), "least"), "k").select(F.col("k").alias("want"), "least"))
+    held = texts.join(maybe_broadcast(wanted, 500_000), F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "want").mapInArrow(shingles, "k long, s array<long>")
+    held = stored(held.dropDuplicates(["k"]).join(cluster, "k"))
+    tiles = F.ceil(F.greatest(F.sum(F.size("s")) / TILE_SHINGLES, F.count("*") / TILE_SETS)).cast("int")
+    placed = held.join(maybe_broadcast(stored(held.groupBy("cluster").agg(tiles.alias("n")))), "cluster").withColumn("tile", F.pmod(F.xxhash64("k"), F.col("n")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("cluster", "tile", "k", "s", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+    links = stored(met.groupBy("cluster", "i", "j").applyInArrow(_tile_links(similarity), "u long, v long"))
+    nodes = connected_components(links)
+    grouped = stored(classes.join(nodes, F.col("cid") == F.col("node"), "left").select("cid", "least", F.coalesce("component", "cid").alias("root")))
     named = stored(grouped.groupBy("root").agg(F.min("least").alias("keep_id")))
     lookup = stored(grouped.join(named, "root").select(F.col("cid").alias("c"), "keep_id", "root"))
     return marked.join(lookup, F.col("cid") == F.col("c")).select("doc_id", "cid", "keep_id", "root")
