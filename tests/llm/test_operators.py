@@ -414,6 +414,38 @@ def test_clusters_lose_no_near_copy(spark, monkeypatch, tile):
     assert len(set(root.values())) < len(rows)
 
 
+@pytest.mark.parametrize("limits", [{}, {"SAMPLED": 1, "SEEN": 3, "COMMON": 3}])
+def test_near_copies_of_far_fingerprints(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(simhash, name, value)
+    rng = random.Random(12)
+    line = [f"licence{i}" for i in range(12)]
+    base = [[f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(40, 400))] + line * (i % 2) for i in range(40)]
+    texts = []
+    for i, w in enumerate(base):
+        n = len(w)
+        edited = list(w)
+        for p in rng.sample(range(n), n // 60):
+            edited[p] = f"new{i}"
+        texts += [w, w + base[i - 1][: n // 8], w[: n - n // 7], w[n // 9 :], edited, w + base[i - 2][: n // 3]]  # the last is under 0.8
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(1000, "one two three"), (1001, ""), (1002, None), (1003, "One  two three")]
+    rng.shuffle(rows)
+    sets = {i: simhash.shingle_set(t) for i, t in rows}
+    prints = {i: simhash.word_set(t)[1:] for i, t in rows}
+
+    def linked(a, b):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        return common >= 0.8 * (len(sets[a]) + len(sets[b]) - common)
+
+    def close(a, b):
+        return linked(a, b) and min((x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True)) <= 5
+
+    want = components(sets, linked)
+    assert want != components(sets, close)  # links that fingerprints alone lose
+    got = {r["doc_id"]: r["keep_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("first", [None, 25])
 def test_shingle_links_against_brute_force(first):
     rng = np.random.default_rng(6)

@@ -270,6 +270,79 @@ def _tile_links(similarity: float):
     return run
 
 
+#: Shingles in so many documents or more count as equally common. Those found in SEEN of the documents sampled, one of SAMPLED,
+#: are taken as that common; workers know the first HOT of them, and their rows are dealt out by document as well.
+COMMON, SAMPLED, SEEN, HOT, SALTS = 1 << 16, 64, 16, 10_000, 64
+
+
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (s, k, size, hot) sorted by s -> (k, size, s, df) of the shingles of more than one row. df: rows, at most COMMON; hot ones are given it."""
+    held: pa.Table | None = None
+    beyond: int | None = None  # a shingle whose first COMMON rows have gone out
+
+    def out(table: pa.Table) -> pa.RecordBatch:
+        s, hot = table.column("s").to_numpy(), table.column("hot").to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        n = np.diff(np.concatenate((starts, [len(s)])))
+        df = np.repeat(np.minimum(n, COMMON), n)
+        df[hot | (s == beyond) if beyond is not None else hot] = COMMON
+        shared = table.append_column("df", pa.array(df.astype(np.int32))).select(["k", "size", "s", "df"]).filter(pa.array(df > 1))
+        return shared.combine_chunks().to_batches()[0] if shared.num_rows else pa.RecordBatch.from_pylist([], schema=shared.schema)
+
+    for batch in batches:
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if held.num_rows < 100_000:
+            continue
+        s = held.column("s").to_numpy()
+        cut = int(np.searchsorted(s, s[-1]))
+        if cut:
+            yield out(held.slice(0, cut))
+            held = held.slice(cut)
+        if held.num_rows >= COMMON:
+            yield out(held)
+            beyond, held = int(s[-1]), None
+    if held is not None and held.num_rows:
+        yield out(held)
+
+
+def shingle_candidates(classes: DataFrame, similarity: float, words: int = 5) -> DataFrame:
+    """classes (k, text), k distinct -> edges (u: k, v: a shingle): classes of this Jaccard similarity or more share a v.
+
+    A prefix filter. Similar sets share at least `need` = ceil(similarity * size) of either's shingles, so a class with fewer
+    shingles that occur elsewhere has no near copy and goes. Of the m that do, in one order for all (rarest first), the
+    first m - need + 1 are enough: at most m - need of them are missing in a similar set, and the first that both hold is
+    in both prefixes. Exact whatever the order is, so counts of common shingles may be capped.
+    """
+    spark = classes.sparkSession
+    lean_batches(spark)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                for text in piece.column("text").to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], names=["s"])
+
+    sample = classes.filter(F.pmod(F.xxhash64("k"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(seen, "s long")
+    top = sample.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= SEEN).orderBy(F.desc("n"), "s").limit(HOT).collect()
+    common = np.array(sorted(r["s"] for r in top), np.int64)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text", 200_000):
+                made = [shingle_set(t, words).view(np.int64) for t in piece.column("text").to_pylist()]
+                n = np.fromiter(map(len, made), np.int64, len(made))
+                s = np.concatenate(made)
+                k = np.repeat(piece.column("k").to_numpy(zero_copy_only=False), n)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(k), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(np.isin(s, common))], names=["s", "k", "size", "hot"])
+
+    dealt = classes.select("k", "text").mapInArrow(rows, "s long, k long, size int, hot boolean")
+    dealt = dealt.repartition("s", F.when(F.col("hot"), F.pmod(F.xxhash64("k"), F.lit(SALTS))).otherwise(0)).sortWithinPartitions("s")
+    shared = dealt.mapInArrow(_shingle_counts, "k long, size int, s long, df int")
+    held = shared.groupBy("k").agg(F.first("size").alias("size"), F.collect_set(F.struct("df", "s")).alias("all"))
+    spare = F.size("all") - F.ceil(F.col("size") * similarity - 1e-9).cast("int")
+    return held.filter(spare >= 0).select(F.col("k").alias("u"), F.explode(F.slice(F.array_sort("all"), F.lit(1), spare + 1)).alias("x")).select("u", F.col("x.s").alias("v"))
+
+
 #: A tile of a cluster holds about so many shingles and so many sets.
 TILE_SHINGLES, TILE_SETS = 2_000_000, 8192
 
@@ -278,8 +351,9 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius
     """docs (doc_id, text) -> doc_id, cid, keep_id, root: which document stays of each group (root) of near copies.
 
     Texts of the same words in the same order are one class (cid). Classes whose SimHash over the set of words is
-    within the radius, by either of two independent fingerprints, are one cluster; its links come from ball hashing and
-    none is lost. Within a cluster classes link if the Jaccard similarity of their sets of `words`-word shingles is at
+    within the radius, by either of two independent fingerprints, are one cluster; its links come from ball hashing. So
+    are classes that share a rare shingle of their prefixes (shingle_candidates): every pair of at least `similarity` is
+    in one cluster, however far its fingerprints are. Within a cluster classes link if the Jaccard similarity of their sets of `words`-word shingles is at
     least `similarity`: all of them are compared, tile by tile, and only a spanning forest of the links leaves a task. A
     tile is bounded, so a cluster of any size runs in bounded memory; one of n tiles is read n times. keep_id is the smallest
     doc_id of the group. Null text: like empty.
@@ -301,6 +375,11 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius
                 made = [shingle_set(texts[i], words).view(np.int64) for i in right]
                 yield pa.RecordBatch.from_arrays([pa.array([want[i] for i in right], pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["k", "s"])
 
+    def named_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            right = pa.array([np.array([word_set_hash(t)], np.uint64).view(np.int64)[0] == w for t, w in zip(batch.column("text").to_pylist(), batch.column("want").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("want"), batch.column("text")], names=["k", "text"]).filter(right)
+
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = stored(texts.mapInArrow(sets, "doc_id long, cid long, a long, b long"))
     classes = stored(marked.groupBy("cid").agg(F.min("doc_id").alias("least"), F.first("a").alias("a"), F.first("b").alias("b")))
@@ -311,6 +390,9 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius
         found = found.join(maybe_broadcast(prints.select(F.col("fp").alias("u"), F.col("first").alias("x"))), "u").join(maybe_broadcast(prints.select(F.col("fp").alias("v"), F.col("first").alias("y"))), "v")
         equal = classes.select("cid", F.col(side).alias("fp")).join(maybe_broadcast(prints.filter("n > 1").select("fp", "first")), "fp").filter("cid <> first")
         near += [found.select(F.col("x").alias("u"), F.col("y").alias("v")), equal.select(F.col("cid").alias("u"), F.col("first").alias("v"))]
+    every = classes.select(F.col("cid").alias("want"), "least")
+    every = texts.join(maybe_broadcast(every, 500_000), F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "want").mapInArrow(named_texts, "k long, text string")
+    near.append(stored(shingle_candidates(every, similarity, words)))
     cluster = stored(connected_components(reduce(DataFrame.unionByName, near)).groupBy(F.col("node").alias("k")).agg(F.min("component").alias("cluster")))
     wanted = stored(cluster.join(classes.select(F.col("cid").alias("k"), "least"), "k").select(F.col("k").alias("want"), "least"))
     held = texts.join(maybe_broadcast(wanted, 500_000), F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "want").mapInArrow(shingles, "k long, s array<long>")
