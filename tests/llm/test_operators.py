@@ -530,6 +530,30 @@ def test_streams_give_each_document_its_own_state(monkeypatch):
     assert model.likelihood(docs) == pytest.approx(alone, rel=1e-4)
 
 
+@pytest.mark.parametrize("longest", [400, 50_000])
+def test_training_reads_every_word(monkeypatch, longest):
+    net = language_model.Recurrent.new(np.full(20, 3.0), np.ones(language_model.GROUPS))
+    head = [f"w{i}".encode() for i in range(19)] + [b""]
+    zero = np.zeros(language_model.GROUPS)
+    model = language_model.LanguageModel(head, np.full(20, 3.0), 20, 60, 20, zero, zero, net)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 19, n)) for n in (longest, 0, 1, *[40] * 200)]
+    pairs = Counter()
+    for t in texts:
+        sym = model.read(t)[0].tolist()
+        pairs.update(zip([19, *sym[:-1]], sym, strict=True))
+    read = Counter()
+
+    def update(self, x, y, fresh, h, adam, rate, live=None):
+        live = np.ones(x.shape, bool) if live is None else live
+        read.update(zip(x[live].tolist(), y[live].tolist(), strict=True))
+        return h
+
+    monkeypatch.setattr(language_model.Recurrent, "update", update)
+    model.train(texts, 1)
+    assert read == pairs
+
+
 # media
 
 

@@ -30,6 +30,8 @@ HEAD = 1 << 18
 EMBED, HIDDEN = 16, 24
 #: Training: documents sampled, streams, steps of backpropagation, updates.
 SAMPLE, STREAMS, STEPS, UPDATES = 1500, 64, 16, 500
+#: Training: tokens of a document in one stream; the next ones follow in another.
+SEGMENT = 2048
 #: Scoring: tokens held, documents side by side, steps between outputs.
 CHUNK, WIDTH, WINDOW = 4_000_000, 256, 32
 END = b""
@@ -137,9 +139,10 @@ class Recurrent:
                 out[rows] += logits[np.arange(len(rows)), y[rows] - a] - log_sum(logits)
         return out
 
-    def update(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, adam: dict, rate: float) -> np.ndarray:
-        """One update on a window (steps x streams) of inputs, targets and starts of documents; the state after it."""
+    def update(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, adam: dict, rate: float, live: np.ndarray | None = None) -> np.ndarray:
+        """One update on a window (steps x streams) of inputs, targets and starts of documents; the state after it. Positions that aren't live count for nothing."""
         steps, n = x.shape
+        weight = np.ones((x.size, 1), np.float32) if live is None else live.reshape(-1, 1).astype(np.float32)
         ew = self.e @ self.w + self.b
         keep = []
         for t in range(steps):
@@ -157,6 +160,7 @@ class Recurrent:
         logits = states @ self.cw + self.cb
         p = np.exp(logits - log_sum(logits)[:, None])
         p[np.arange(len(flat)), c] -= 1
+        p *= weight
         grads = {"cw": states.T @ p, "cb": p.sum(axis=0), "ow": np.zeros_like(self.ow), "ob": np.zeros_like(self.ob)}
         back = p @ self.cw.T
         order = np.argsort(c, kind="stable")
@@ -168,6 +172,7 @@ class Recurrent:
                 logits = states[rows] @ self.ow[:, a:b] + self.ob[a:b]
                 p = np.exp(logits - log_sum(logits)[:, None])
                 p[np.arange(len(rows)), flat[rows] - a] -= 1
+                p *= weight[rows]
                 grads["ow"][:, a:b] = states[rows].T @ p
                 grads["ob"][a:b] = p.sum(axis=0)
                 back[rows] += p @ self.ow[:, a:b].T
@@ -299,28 +304,36 @@ class LanguageModel:
             score += np.bincount(np.concatenate(owners), weights=net.output(np.concatenate(states), np.concatenate(targets)), minlength=len(docs))
         return score / math.log(10)
 
-    def train(self, texts: list[str], updates: int = UPDATES) -> None:
-        """Truncated backpropagation over streams of whole documents, again from the start when they end."""
-        docs = [self.read(t)[0] for t in texts]
-        if not docs or self.known < 2:
-            return
-        y, _, fresh, total = grids(docs, STREAMS)
-        width = int((total >= max(STEPS, total.max() // 2)).sum())
-        y, fresh = y[:, :width], fresh[:, :width]
-        last = int(total[:width].min()) // STEPS * STEPS
-        if last < STEPS:
-            return
+    def train(self, texts: list[str], updates: int = UPDATES) -> int:
+        """Truncated backpropagation over streams of segments of documents until all words were read, and from the start again up to `updates`; the updates made.
+
+        A document of more than SEGMENT tokens goes on in another stream from the word before, with a new state, so no
+        document makes its stream longer than the others.
+        """
+        if not texts or self.known < 2:
+            return 0
         start = int(self.symbol[self.place[END]])
-        h, adam = np.zeros((width, HIDDEN), np.float32), {}
-        at = 0
+        pieces, first = [], []
+        for text in texts:
+            symbols = self.read(text)[0]
+            for at in range(0, len(symbols), SEGMENT):
+                pieces.append(symbols[at : at + SEGMENT])
+                first.append(int(symbols[at - 1]) if at else start)
+        y, whose, fresh, total = grids(pieces, STREAMS)
+        before = np.where(fresh, np.array(first, np.int32)[whose], np.concatenate([y[:1], y[:-1]]))
+        windows = -(-len(y) // STEPS)
+        updates = max(updates, windows)
+        adam: dict = {}
+        h = np.zeros((y.shape[1], HIDDEN), np.float32)
         for i in range(updates):
-            if at + STEPS > last:
-                at, h = 0, np.zeros_like(h)
-            before = np.concatenate([y[at - 1 : at] if at else np.full((1, width), start, np.int32), y[at : at + STEPS - 1]])
-            new = fresh[at : at + STEPS]
-            before = np.where(new, start, before)
-            h = self.net.update(before, y[at : at + STEPS], new, h, adam, 0.01 * (1 - 0.9 * i / updates))
-            at += STEPS
+            at = i % windows * STEPS
+            if not at:
+                h = np.zeros((y.shape[1], HIDDEN), np.float32)
+            n = int(np.searchsorted(-total, -at, "left"))
+            to = min(at + STEPS, len(y))
+            live = np.arange(at, to)[:, None] < total[None, :n]
+            h = self.net.update(before[at:to, :n], y[at:to, :n], fresh[at:to, :n], h[:n], adam, 0.01 * (1 - 0.9 * i / updates), live)
+        return updates
 
 
 def fit(training: DataFrame, counts: DataFrame, sample: int = SAMPLE, updates: int = UPDATES) -> LanguageModel:
