@@ -554,6 +554,20 @@ def test_training_reads_every_word(monkeypatch, longest):
     assert read == pairs
 
 
+def test_all_documents_are_learned_from(spark, monkeypatch):
+    rows = [(i, "a b c d e f " * 30 if i % 7 else "f e d c b a " * 30) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = language_model.count_words(docs)
+    with monkeypatch.context() as m:
+        m.setattr(language_model, "train_everywhere", lambda training, model: None)
+        untaught = language_model.fit(docs, counts, sample=0)
+    taught = language_model.fit(docs, counts, sample=0)  # no document in the sample: the rest must teach it
+    sym = taught.read("a b c d e f " * 30)[0]
+    assert not untaught.net.cw.any()
+    assert taught.net.cw.any()
+    assert taught.likelihood([sym])[0] > untaught.likelihood([sym])[0]
+
+
 # media
 
 

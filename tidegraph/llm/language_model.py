@@ -2,12 +2,13 @@
 
 Words are counted over all training documents. The model reads the most frequent words as themselves and all others
 as one of a few groups by their last letters; its output is factored: first a class, then the word within it. In a
-group the word follows the smoothed counts. Training is by truncated backpropagation on a bounded sample of whole
-documents; scoring carries the state over windows from each document's first word to its end.
+group the word follows the smoothed counts. Training is by truncated backpropagation: a sample of documents gives all
+tasks one start, from which each task learns from all documents of its partition; parameters are averaged by tokens. Scoring carries the state over windows from each document's first word to its end.
 """
 
 from __future__ import annotations
 
+import copy
 import heapq
 import math
 import zlib
@@ -32,6 +33,8 @@ EMBED, HIDDEN = 16, 24
 SAMPLE, STREAMS, STEPS, UPDATES = 1500, 64, 16, 500
 #: Training: tokens of a document in one stream; the next ones follow in another.
 SEGMENT = 2048
+#: Training on all documents: streams of a task, bytes of text held, and the first rate.
+MANY, TEXTS, RATE = 256, 6_000_000, 0.003
 #: Scoring: tokens held, documents side by side, steps between outputs.
 CHUNK, WIDTH, WINDOW = 4_000_000, 256, 32
 END = b""
@@ -304,7 +307,7 @@ class LanguageModel:
             score += np.bincount(np.concatenate(owners), weights=net.output(np.concatenate(states), np.concatenate(targets)), minlength=len(docs))
         return score / math.log(10)
 
-    def train(self, texts: list[str], updates: int = UPDATES) -> int:
+    def train(self, texts: list[str], updates: int = UPDATES, streams: int = STREAMS, rate: float = 0.01, adam: dict | None = None) -> int:
         """Truncated backpropagation over streams of segments of documents until all words were read, and from the start again up to `updates`; the updates made.
 
         A document of more than SEGMENT tokens goes on in another stream from the word before, with a new state, so no
@@ -319,11 +322,11 @@ class LanguageModel:
             for at in range(0, len(symbols), SEGMENT):
                 pieces.append(symbols[at : at + SEGMENT])
                 first.append(int(symbols[at - 1]) if at else start)
-        y, whose, fresh, total = grids(pieces, STREAMS)
+        y, whose, fresh, total = grids(pieces, streams)
         before = np.where(fresh, np.array(first, np.int32)[whose], np.concatenate([y[:1], y[:-1]]))
         windows = -(-len(y) // STEPS)
         updates = max(updates, windows)
-        adam: dict = {}
+        adam = {} if adam is None else adam
         h = np.zeros((y.shape[1], HIDDEN), np.float32)
         for i in range(updates):
             at = i % windows * STEPS
@@ -332,12 +335,52 @@ class LanguageModel:
             n = int(np.searchsorted(-total, -at, "left"))
             to = min(at + STEPS, len(y))
             live = np.arange(at, to)[:, None] < total[None, :n]
-            h = self.net.update(before[at:to, :n], y[at:to, :n], fresh[at:to, :n], h[:n], adam, 0.01 * (1 - 0.9 * i / updates), live)
+            h = self.net.update(before[at:to, :n], y[at:to, :n], fresh[at:to, :n], h[:n], adam, rate * (1 - 0.9 * i / updates), live)
         return updates
 
 
+LEARNED = ("e", "w", "b", "u", "v", "cw", "cb", "ow", "ob")
+
+
+def train_everywhere(training: DataFrame, model: LanguageModel) -> None:
+    """Each task goes on from the model over all documents (text) of its partition; the model takes the mean of their parameters, weighted by tokens."""
+    sent = training.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = copy.copy(sent.value)
+        m.net = copy.deepcopy(m.net)
+        adam: dict = {}
+        texts, held, weight = [], 0, 0
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                texts.append(text)
+                held += len(text or "")
+                weight += len(tokens(text)) + 1
+                if held >= TEXTS:
+                    m.train(texts, 0, MANY, RATE, adam)
+                    texts, held = [], 0
+        if texts:
+            m.train(texts, 0, MANY, RATE, adam)
+        if weight:
+            flat = np.concatenate([getattr(m.net, name).ravel() for name in LEARNED]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["n", "flat"])
+
+    total, mean = 0, None
+    for r in stored(training.select("text").mapInArrow(run, "n long, flat binary")).toLocalIterator():
+        flat = np.frombuffer(r["flat"], np.float32).astype(np.float64) * r["n"]
+        mean = flat if mean is None else mean + flat
+        total += r["n"]
+    if mean is None:
+        return
+    at = 0
+    for name in LEARNED:
+        old = getattr(model.net, name)
+        setattr(model.net, name, (mean[at : at + old.size] / total).astype(np.float32).reshape(old.shape))
+        at += old.size
+
+
 def fit(training: DataFrame, counts: DataFrame, sample: int = SAMPLE, updates: int = UPDATES) -> LanguageModel:
-    """training (doc_id, text) and its stored word counts -> model. Head words by a histogram of counts, at most HEAD; texts of about `sample` documents reach the driver."""
+    """training (doc_id, text) and its stored word counts -> model. Head words by a histogram of counts, at most HEAD; texts of about `sample` documents reach the driver. All documents are learned from."""
     groups = counts.groupBy("grp").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
     steps = F.floor(F.log2("c") * 8).cast("int")
     bins = sorted(((r["s"], r["n"]) for r in counts.groupBy(steps.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)
@@ -372,6 +415,7 @@ def fit(training: DataFrame, counts: DataFrame, sample: int = SAMPLE, updates: i
     if n:
         some = training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30))).select("doc_id", "text").toPandas()
         model.train(some.sort_values(["doc_id", "text"], na_position="first")["text"].tolist(), updates)
+        train_everywhere(training, model)
     return model
 
 
