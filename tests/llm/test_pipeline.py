@@ -28,6 +28,13 @@ def test_empty_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_pictures_are_read_back_from_a_stored_table(spark, tmp_path):
+    spark.createDataFrame(documents(n=10), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    files = queries()["op9_media"](spark, str(tmp_path)).inputFiles()
+    assert files
+    assert not any("documents.parquet" in f for f in files)
+
+
 def test_a_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
     assert set(oracle_sql()) <= set(queries())

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegraph.llm import embeddings, langid, language_model, media, mixing, pieces, quality, simhash, urls, warc
+from tidegraph.llm.common import stored
 
 #: (host, path, verdict)
 RULES = (
@@ -64,8 +65,8 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text as a picture, and what is read back from it."""
-    return media.media_features(media.to_media(table(spark, sf_dir, "documents"))).drop("error")
+    """Every document's text as a picture in a stored table, and what is read back from it."""
+    return media.media_features(stored(media.to_media(table(spark, sf_dir, "documents")))).drop("error")
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
