@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.functions.workers import ready
+from tidegraph.functions.workers import discard, stored
 
 #: Words of every contract: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,24 +19,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; only where that is unset (tests) a temporary folder is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = spark.sparkContext.getCheckpointDir()
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df, written as a Parquet table in the shared folder and read again: lineage ends there, and lost executors lose nothing."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most so many rows, by counting no more than one row beyond."""
     return df.limit(rows + 1).count() <= rows
@@ -60,13 +40,6 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterato
         at = to
 
 
-def lean_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Readies Python workers: they get this package, and Arrow batches of at most 512 whole texts unless the session asks for fewer."""
-    ready(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 class Forest:
     """Union-find over a few integers of one batch, the smallest member as root."""
 
@@ -91,19 +64,35 @@ class Forest:
         return [(x, self.root(x)) for x in self.up]
 
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
+def spread(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """A forest of many links at once, (node, least node it hangs together with): repeated least-label steps on arrays. a, b: places in nodes."""
+    some, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = flat[: len(a)], flat[len(a) :]
+    label = np.arange(len(some))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        np.minimum.at(new, y, label[x])
+        new = new[new]
+        if (new == label).all():
+            return [(p, q) for p, q in zip(nodes[some].tolist(), nodes[some[label]].tolist(), strict=True) if p != q]
+        label = new
+
+
+def _star(pairs: DataFrame, large: bool, made: list[DataFrame]) -> DataFrame:
     """One star step on edges (u > v). Large: higher neighbours link to the least of a node's neighbourhood. Small: a node and its lower neighbours do."""
     if large:
         sides = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         sides = pairs.select("u", "v")
     least = stored(sides.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")))
+    made.append(least)
     joined = sides.join(least, F.col("u") == F.col("k"))
     if large:
-        made = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        made = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
-    return made.filter("u <> v").distinct()
+        out = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
+    return out.filter("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -115,7 +104,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     mark = None
     for _ in range(rounds):
-        now = stored(_star(_star(now, True), False))
+        before, made = now, []
+        now = stored(_star(_star(now, True, made), False, made))
+        discard(before, *made)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
