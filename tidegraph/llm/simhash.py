@@ -11,17 +11,17 @@ emits 3 * 44 variants, and no pair within the radius is lost. parts = kept = 1 i
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import Forest, connected_components, lean_batches, maybe_broadcast, slices, stored
+from tidegraph.functions.workers import discard, ready, stored
+from tidegraph.llm.common import Forest, connected_components, maybe_broadcast, slices, spread
+from tidegraph.llm.shingles import distinct, lowered, prefix_links, set_fingerprints, shingle_sets, text_key, word_hashes
 
 #: Shingle hashes turned to bits at a time.
 BLOCK = 1 << 16
@@ -50,7 +50,7 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id") -> DataFrame:
     """Every row of docs -> (doc_id, fp): fp is the fingerprint's 64 bits as a signed long. Whole texts, null like empty."""
-    lean_batches(docs.sparkSession)
+    ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,25 +103,10 @@ def link_bucket(fp: np.ndarray, radius: int, forest: Forest, block: int = 1024)
             a, b = np.nonzero(distance(fp[i : i + block, None], fp[None, j : j + block]) <= radius)
             if i == j:
                 a, b = a[a < b], b[a < b]
-            for x, y in zip(fp[i + a].tolist(), fp[j + b].tolist(), strict=True) if len(a) < 4 * block else _spread(fp, i + a, j + b):
+            for x, y in zip(fp[i + a].tolist(), fp[j + b].tolist(), strict=True) if len(a) < 4 * block else spread(fp, i + a, j + b):
                 forest.join(x, y)
 
 
-def _spread(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A forest of many links at once: repeated least-label steps on arrays."""
-    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = flat[: len(a)], flat[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        new = label.copy()
-        np.minimum.at(new, x, label[y])
-        np.minimum.at(new, y, label[x])
-        new = new[new]
-        if (new == label).all():
-            return [(p, q) for p, q in zip(fp[nodes].tolist(), fp[nodes[label]].tolist(), strict=True) if p != q]
-        label = new
-
-
 def _links(radius: int):
     """Sorted (variant, fp) batches -> edges (u, v): a spanning forest of each batch's verified links. A bucket may run over batches."""
 
@@ -140,27 +125,25 @@ def _links(radius: int):
         return forest.edges()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_v, kept_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
         def out(v: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
             edges = np.array(pairs(v, f), dtype=np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names=["u", "v"])
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        rows = 0
+        rows, limit = 0, 200_000
         for batch in batches:
             held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
             rows += batch.num_rows
-            if rows < 200_000:
+            if rows < limit:
                 continue
-            v, f = np.concatenate([kept_v, *(x for x, _ in held)]), np.concatenate([kept_f, *(x for _, x in held)])
+            v, f = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
             cut = int(np.flatnonzero(v != v[-1])[-1]) + 1 if v[0] != v[-1] else 0
             if cut:
                 yield out(v[:cut], f[:cut])
-            kept_v, kept_f, held, rows = v[cut:], f[cut:], [], 0
-        v, f = np.concatenate([kept_v, *(x for x, _ in held)]), np.concatenate([kept_f, *(x for _, x in held)])
-        if len(v):
-            yield out(v, f)
+            held, rows = [(v[cut:], f[cut:])], len(v) - cut
+            limit = max(200_000, 2 * rows)  # a bucket that goes on isn't copied again with each batch
+        if rows:
+            yield out(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
 
     return run
 
@@ -177,33 +160,6 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, parts: int = 3, kept
     return spread.mapInArrow(_links(radius), "u long, v long").distinct()
 
 
-def word_set(text: str | None) -> tuple[int, int, int]:
-    """(hash of the words in order, two SimHashes of the set of words) of a text; A-Z lower-cased."""
-    found = (text or "").encode().lower().split()
-    whole = xxhash.xxh3_64_intdigest(b" ".join(found), 7)
-    if not found:
-        return whole, 0, 0
-    kinds = set(found)
-    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, kinds)), np.uint8).reshape(-1, 16)
-    ones = np.zeros(128, np.int64)
-    for at in range(0, len(h), BLOCK):
-        ones += np.unpackbits(h[at : at + BLOCK], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    a, b = np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<u8").tolist()
-    return whole, a, b
-
-
-def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
-    """Hashes of the distinct shingles of a text; a text of fewer words is one shingle."""
-    found = (text or "").encode().lower().split()
-    if len(found) <= words:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(found))], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-    starts = np.concatenate(([0], ends[:-1]))[: len(found) - words + 1].tolist()
-    line = b" ".join(found)
-    cuts = map(line.__getitem__, map(slice, starts, (ends[words - 1 :] - 1).tolist()))
-    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, cuts), np.uint64, len(starts)))
-
-
 def _dense(col: np.ndarray, row: np.ndarray, part: np.ndarray, rows: int) -> np.ndarray:
     """0/1 matrix of rows against the sorted columns `part`."""
     at = np.searchsorted(part, col)
@@ -248,194 +204,175 @@ def shingle_links(sets: list[np.ndarray], similarity: float, first: int | None =
             a, b = a[a != b], b[a != b]
             if len(a):
                 to = np.arange(m)
-                for p, q in _spread(np.arange(m), a, b):
+                for p, q in spread(np.arange(m), a, b):
                     to[p] = q
                 label = to[label]
     return label
 
 
 def _tile_links(similarity: float):
-    """All shingle sets of two tiles of a cluster (or of one) -> links (u, v): a spanning forest of the similar pairs."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("tile", "ascending"), ("k", "ascending")])
-        tile, k = table.column("tile").to_numpy(), table.column("k").to_numpy()
-        flat = table.column("s").combine_chunks()
-        values, ends = flat.flatten().to_numpy(), np.cumsum(pc.list_value_length(flat).to_numpy())
-        crossing = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        label = shingle_links(np.split(values, ends[:-1]), similarity, int((tile == tile[0]).sum()) if crossing else None)
-        far = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table({"u": k[far], "v": k[label[far]]})
+    """Sorted rows (i, j, tile, k, s) of tiles -> links (u, v): of each tile (or pair of tiles) of a cluster a spanning forest of its similar pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            names = [table.column(c).to_numpy() for c in ("key", "cluster", "i", "j")]
+            edge = np.flatnonzero(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in names], axis=0))))
+            tile, k, s = table.column("tile").to_numpy(), table.column("k").to_numpy(), table.column("s").to_pylist()
+            made: list[np.ndarray] = []
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(k)], strict=True):
+                sets = [np.frombuffer(x, np.int64) for x in s[a:b]]
+                crossing = names[2][a] != names[3][a]
+                label = shingle_links(sets, similarity, int((tile[a:b] == tile[a]).sum()) if crossing else None)
+                far = np.flatnonzero(label != np.arange(len(label)))
+                made.append(np.stack([k[a + far], k[a + label[far]]]))
+            flat = np.concatenate(made, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[0].copy()), pa.array(flat[1].copy())], names=["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = ("key", "cluster", "i", "j")
+            same = np.all([batch.column(c).to_numpy(zero_copy_only=False) == batch.column(c)[batch.num_rows - 1].as_py() for c in names], axis=0)
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if held and any(held[-1].column(c)[held[-1].num_rows - 1].as_py() != batch.column(c)[0].as_py() for c in names):
+                yield from out(pa.Table.from_batches(held))
+                held = []
+            if cut:
+                yield from out(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from out(pa.Table.from_batches(held))
 
     return run
 
 
-#: Shingles in so many documents or more count as equally common. Those found in SEEN of the documents sampled, one of SAMPLED,
-#: are taken as that common; workers know the first HOT of them, and their rows are dealt out by document as well.
-COMMON, SAMPLED, SEEN, HOT, SALTS = 1 << 16, 64, 16, 10_000, 64
+#: A tile of a cluster holds at most so many sets and about so many shingles. Clusters are cut finer, so that many tasks share
+#: them, as long as that makes no more than FINE tiles, for each set is sent to all tiles of its cluster.
+TILE_SETS, TILE_SHINGLES, FINE, SMALL = 8192, 2_000_000, 24, 128
 
 
-def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches (s, k, size, hot) sorted by s -> (k, size, s, df) of the shingles of more than one row. df: rows, at most COMMON; hot ones are given it."""
-    held: pa.Table | None = None
-    beyond: int | None = None  # a shingle whose first COMMON rows have gone out
+def _keyed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.array([text_key(r) for r in lowered(texts)], np.int64).reshape(-1, 2)
+    return keys[:, 0].copy(), keys[:, 1].copy()
 
-    def out(table: pa.Table) -> pa.RecordBatch:
-        s, hot = table.column("s").to_numpy(), table.column("hot").to_numpy()
-        starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        n = np.diff(np.concatenate((starts, [len(s)])))
-        df = np.repeat(np.minimum(n, COMMON), n)
-        df[hot | (s == beyond) if beyond is not None else hot] = COMMON
-        shared = table.append_column("df", pa.array(df.astype(np.int32))).select(["k", "size", "s", "df"]).filter(pa.array(df > 1))
-        return shared.combine_chunks().to_batches()[0] if shared.num_rows else pa.RecordBatch.from_pylist([], schema=shared.schema)
 
+def _right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose text has the key (cid, chk) that they carry."""
     for batch in batches:
-        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        if held.num_rows < 100_000:
-            continue
-        s = held.column("s").to_numpy()
-        cut = int(np.searchsorted(s, s[-1]))
-        if cut:
-            yield out(held.slice(0, cut))
-            held = held.slice(cut)
-        if held.num_rows >= COMMON:
-            yield out(held)
-            beyond, held = int(s[-1]), None
-    if held is not None and held.num_rows:
-        yield out(held)
-
-
-def shingle_candidates(classes: DataFrame, similarity: float, words: int = 5) -> DataFrame:
-    """classes (k, text), k distinct -> edges (u: k, v: a shingle): classes of this Jaccard similarity or more share a v.
-
-    A prefix filter. Similar sets share at least `need` = ceil(similarity * size) of either's shingles, so a class with fewer
-    shingles that occur elsewhere has no near copy and goes. Of the m that do, in one order for all (rarest first), the
-    first m - need + 1 are enough: at most m - need of them are missing in a similar set, and the first that both hold is
-    in both prefixes. Exact whatever the order is, so counts of common shingles may be capped.
-    """
-    spark = classes.sparkSession
-    lean_batches(spark)
+        for piece in slices(batch, "text"):
+            cid, chk = _keyed(piece.column("text").to_pylist())
+            yield piece.filter(pa.array((cid == piece.column("cid").to_numpy(zero_copy_only=False)) & (chk == piece.column("chk").to_numpy(zero_copy_only=False))))
 
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                for text in piece.column("text").to_pylist():
-                    yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], names=["s"])
 
-    sample = classes.filter(F.pmod(F.xxhash64("k"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(seen, "s long")
-    top = sample.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= SEEN).orderBy(F.desc("n"), "s").limit(HOT).collect()
-    common = np.array(sorted(r["s"] for r in top), np.int64)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, "text", 200_000):
-                made = [shingle_set(t, words).view(np.int64) for t in piece.column("text").to_pylist()]
-                n = np.fromiter(map(len, made), np.int64, len(made))
-                s = np.concatenate(made)
-                k = np.repeat(piece.column("k").to_numpy(zero_copy_only=False), n)
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(k), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(np.isin(s, common))], names=["s", "k", "size", "hot"])
-
-    dealt = classes.select("k", "text").mapInArrow(rows, "s long, k long, size int, hot boolean")
-    dealt = dealt.repartition("s", F.when(F.col("hot"), F.pmod(F.xxhash64("k"), F.lit(SALTS))).otherwise(0)).sortWithinPartitions("s")
-    shared = dealt.mapInArrow(_shingle_counts, "k long, size int, s long, df int")
-    held = shared.groupBy("k").agg(F.first("size").alias("size"), F.collect_set(F.struct("df", "s")).alias("all"))
-    spare = F.size("all") - F.ceil(F.col("size") * similarity - 1e-9).cast("int")
-    return held.filter(spare >= 0).select(F.col("k").alias("u"), F.explode(F.slice(F.array_sort("all"), F.lit(1), spare + 1)).alias("x")).select("u", F.col("x.s").alias("v"))
-
-
-#: A tile of a cluster holds about so many shingles and so many sets.
-TILE_SHINGLES, TILE_SETS = 2_000_000, 8192
-
-
-def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 5, parts: int = 4, kept: int = 2) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, cid, keep_id, root: which document stays of each group (root) of near copies.
-
-    Texts of the same words in the same order are one class (cid). Classes whose SimHash over the set of words is
-    within the radius, by either of two independent fingerprints, are one cluster; its links come from ball hashing. So
-    are classes that share a rare shingle of their prefixes (shingle_candidates): every pair of at least `similarity` is
-    in one cluster, however far its fingerprints are. Within a cluster classes link if the Jaccard similarity of their sets of `words`-word shingles is at
-    least `similarity`: all of them are compared, tile by tile, and only a spanning forest of the links leaves a task. A
-    tile is bounded, so a cluster of any size runs in bounded memory; one of n tiles is read n times. keep_id is the smallest
-    doc_id of the group. Null text: like empty.
-    """
+def _groups_of(docs: DataFrame, similarity: float, words: int, radius: int, parts: int, kept: int) -> tuple[DataFrame, bool]:
+    """near_copies, and whether doc_id names each row."""
     spark = docs.sparkSession
-    lean_batches(spark)
+    ready(spark)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
-                got = np.array([word_set(t) for t in piece.column("text").to_pylist()], dtype=np.uint64).reshape(-1, 3).view(np.int64)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(got[:, i].copy()) for i in range(3))], names=["doc_id", "cid", "a", "b"])
+                raw = lowered(piece.column("text").to_pylist())
+                h, n = word_hashes(raw)
+                keys = np.array([text_key(r) for r in raw], np.int64).reshape(-1, 2)
+                fp = set_fingerprints(*distinct(h, n)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(fp), pa.array(n.astype(np.int64))], names=["doc_id", "cid", "chk", "fp", "n"])
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text"):
-                texts, want = piece.column("text").to_pylist(), piece.column("want").to_pylist()
-                right = [i for i, t in enumerate(texts) if np.array([word_set_hash(t)], np.uint64).view(np.int64)[0] == want[i]]
-                made = [shingle_set(texts[i], words).view(np.int64) for i in right]
-                yield pa.RecordBatch.from_arrays([pa.array([want[i] for i in right], pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["k", "s"])
-
-    def named_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            right = pa.array([np.array([word_set_hash(t)], np.uint64).view(np.int64)[0] == w for t, w in zip(batch.column("text").to_pylist(), batch.column("want").to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("want"), batch.column("text")], names=["k", "text"]).filter(right)
+            for piece in slices(batch, "text", 200_000):
+                flat, n = shingle_sets(piece.column("text").to_pylist(), words)
+                made = np.split(flat, np.cumsum(n)[:-1])
+                rows = []
+                for k, cluster, tile, of, s in zip(*(piece.column(c).to_pylist() for c in ("k", "cluster", "tile", "tiles")), made, strict=True):
+                    rows += [(cluster, min(tile, o), max(tile, o), tile, k, s.tobytes()) for o in range(of)]
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["cluster", "i", "j", "tile", "k", "s"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = stored(texts.mapInArrow(sets, "doc_id long, cid long, a long, b long"))
-    classes = stored(marked.groupBy("cid").agg(F.min("doc_id").alias("least"), F.first("a").alias("a"), F.first("b").alias("b")))
-    near = []
-    for side in ("a", "b"):
-        prints = stored(classes.groupBy(F.col(side).alias("fp")).agg(F.min("cid").alias("first"), F.count("*").alias("n")))
-        found = stored(fingerprint_links(prints.select("fp"), radius, parts, kept))
-        found = found.join(maybe_broadcast(prints.select(F.col("fp").alias("u"), F.col("first").alias("x"))), "u").join(maybe_broadcast(prints.select(F.col("fp").alias("v"), F.col("first").alias("y"))), "v")
-        equal = classes.select("cid", F.col(side).alias("fp")).join(maybe_broadcast(prints.filter("n > 1").select("fp", "first")), "fp").filter("cid <> first")
-        near += [found.select(F.col("x").alias("u"), F.col("y").alias("v")), equal.select(F.col("cid").alias("u"), F.col("first").alias("v"))]
-    every = classes.select(F.col("cid").alias("want"), "least")
-    every = texts.join(maybe_broadcast(every, 500_000), F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "want").mapInArrow(named_texts, "k long, text string")
-    near.append(stored(shingle_candidates(every, similarity, words)))
-    cluster = stored(connected_components(reduce(DataFrame.unionByName, near)).groupBy(F.col("node").alias("k")).agg(F.min("component").alias("cluster")))
-    wanted = stored(cluster.join(classes.select(F.col("cid").alias("k"), "least"), "k").select(F.col("k").alias("want"), "least"))
-    held = texts.join(maybe_broadcast(wanted, 500_000), F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "want").mapInArrow(shingles, "k long, s array<long>")
-    held = stored(held.dropDuplicates(["k"]).join(cluster, "k"))
-    tiles = F.ceil(F.greatest(F.sum(F.size("s")) / TILE_SHINGLES, F.count("*") / TILE_SETS)).cast("int")
-    placed = held.join(maybe_broadcast(stored(held.groupBy("cluster").agg(tiles.alias("n")))), "cluster").withColumn("tile", F.pmod(F.xxhash64("k"), F.col("n")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("cluster", "tile", "k", "s", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-    links = stored(met.groupBy("cluster", "i", "j").applyInArrow(_tile_links(similarity), "u long, v long"))
+    marked = stored(texts.mapInArrow(sets, "doc_id long, cid long, chk long, fp long, n long"))
+    unique = not marked.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    found = marked.groupBy("cid", "chk").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"))
+    again = F.row_number().over(Window.partitionBy("cid").orderBy("chk"))  # a name for each class, even if 64 bits of two texts agree
+    classes = stored(found.withColumn("k", F.when(again == 1, F.col("cid")).otherwise(F.xxhash64("cid", "chk"))))
+    here = ["k", "cid", "chk", "least"]
+    # fingerprints within the radius
+    prints = stored(classes.groupBy("fp").agg(F.min("k").alias("first"), F.count("*").alias("n")))
+    balls = stored(fingerprint_links(prints.select("fp"), radius, parts, kept))
+    ends = [maybe_broadcast(prints.select(F.col("fp").alias(e), F.col("first").alias(x))) for e, x in (("u", "x"), ("v", "y"))]
+    near = balls.join(ends[0], "u").join(ends[1], "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    equal = classes.select("k", "fp").join(maybe_broadcast(prints.filter("n > 1").select("fp", "first")), "fp").filter("k <> first").select(F.col("k").alias("u"), F.col("first").alias("v"))
+
+    # classes of similar shingles whose fingerprints are further apart
+    def with_texts(of: DataFrame) -> DataFrame:
+        both = texts.join(maybe_broadcast(of, 500_000), F.col("doc_id").eqNullSafe(F.col("least"))).select("text", *(c for c in of.columns if c != "least"))
+        return both if unique else both.mapInArrow(_right, both.schema)
+
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    further = prefix_links(with_texts(classes.select(*here)).select("k", "text"), total, similarity, words)
+    cluster = stored(connected_components(near.unionByName(equal).unionByName(further)).groupBy(F.col("node").alias("k")).agg(F.min("component").alias("cluster")))
+    discard(balls, prints, further)
+    sized = cluster.join(classes.select(*here, "n"), "k")
+    sizes = sized.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    many = F.least(F.ceil(F.col("m") / SMALL), F.greatest(F.lit(FINE), F.ceil(F.col("m") / TILE_SETS)))
+    sizes = stored(sizes.select("cluster", F.greatest(many, F.ceil(F.col("n") / TILE_SHINGLES), F.lit(1)).cast("int").alias("tiles")))
+    wanted = stored(sized.drop("n").join(maybe_broadcast(sizes), "cluster").withColumn("tile", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int")))
+    placed = with_texts(wanted).mapInArrow(tiles, "cluster long, i int, j int, tile int, k long, s binary")
+    placed = placed.withColumn("key", F.xxhash64("cluster", "i", "j")).repartition("key").sortWithinPartitions("key", "cluster", "i", "j", "tile", "k")
+    links = stored(placed.mapInArrow(_tile_links(similarity), "u long, v long"))
     nodes = connected_components(links)
-    grouped = stored(classes.join(nodes, F.col("cid") == F.col("node"), "left").select("cid", "least", F.coalesce("component", "cid").alias("root")))
+    grouped = stored(classes.join(nodes, F.col("k") == F.col("node"), "left").select("cid", "chk", "least", F.coalesce("component", "k").alias("root")))
     named = stored(grouped.groupBy("root").agg(F.min("least").alias("keep_id")))
-    lookup = stored(grouped.join(named, "root").select(F.col("cid").alias("c"), "keep_id", "root"))
-    return marked.join(lookup, F.col("cid") == F.col("c")).select("doc_id", "cid", "keep_id", "root")
-
-
-def word_set_hash(text: str | None) -> int:
-    """The first of word_set alone."""
-    return xxhash.xxh3_64_intdigest(b" ".join((text or "").encode().lower().split()), 7)
+    lookup = stored(grouped.join(named, "root").select(F.col("cid").alias("c1"), F.col("chk").alias("c2"), "keep_id", "root"))
+    discard(cluster, sizes, wanted, links, grouped, named)
+    told = marked.join(maybe_broadcast(lookup, 500_000), (F.col("cid") == F.col("c1")) & (F.col("chk") == F.col("c2"))).select("doc_id", "cid", "chk", "keep_id", "root")
+    return told, unique
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 4, parts: int = 3, kept: int = 2) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, cid, chk, keep_id, root: which document stays of each group (root) of near copies.
+
+    Texts of the same words in the same order are one class (cid and chk, 128 bits). Classes whose SimHash over the set of
+    words is within the radius are one cluster; its links come from ball hashing. So are classes that share a shingle of
+    their prefixes (prefix_links): every pair of at least `similarity` is in one cluster, however far its fingerprints are.
+    Within a cluster classes link if the Jaccard similarity of their sets of `words`-word shingles is at least
+    `similarity`: all of them are compared, tile by tile, and only a spanning forest of the links leaves a task. A
+    tile is bounded, so a cluster of any size runs in bounded memory; a set of a cluster of n tiles is sent n times. keep_id
+    is the smallest doc_id of the group, null if it has none. Null text: like empty; empty texts are copies of each other.
+    Empty input: no rows.
+    """
+    return _groups_of(docs, similarity, words, radius, parts, kept)[0]
 
 
-def without_near_copies(docs: DataFrame, **how: object) -> DataFrame:
-    """docs with one document of each group of near copies, columns unchanged: the one of the smallest doc_id. Of rows that repeat it with the same text one stays."""
-    spark = docs.sparkSession
-    told = stored(near_copies(docs, **how))
-    gone = stored(told.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__gone_id"), F.col("cid").alias("__gone_cid")).distinct())
-    types = dict(docs.dtypes)
-    columns = docs.columns
+def without_near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 4, parts: int = 3, kept: int = 2) -> DataFrame:
+    """docs with one document of each group of near copies, columns unchanged: the one of the smallest doc_id. Of rows that repeat it with texts of the group one stays."""
+    told, unique = _groups_of(docs, similarity, words, radius, parts, kept)
+    told = stored(told)
+    gone = told.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    if unique:
+        drop = stored(gone.select(F.col("doc_id").alias("__gone")))
+        return docs.join(maybe_broadcast(drop, 500_000), F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    columns, types = docs.columns, dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cid = np.array([word_set_hash(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cid)], names=[*columns, "__cid"])
-
-    lean_batches(spark)
-    marked = docs.mapInArrow(run, "".join(f"`{c}` {types[c]}, " for c in columns) + "__cid long")
-    left = marked.join(maybe_broadcast(gone, 500_000), F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.col("__cid") == F.col("__gone_cid")), "left_anti")
+            cid, chk = _keyed(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cid), pa.array(chk)], names=[*columns, "__cid", "__chk"])
+
+    drop = stored(gone.select(F.col("doc_id").alias("__gone"), F.col("cid").alias("__c"), F.col("chk").alias("__k")).distinct())
+    me = F.col("doc_id").cast("long")
+    marked = docs.mapInArrow(run, "".join(f"`{c}` {types[c]}, " for c in columns) + "__cid long, __chk long")
+    left = marked.join(maybe_broadcast(drop, 500_000), me.eqNullSafe(F.col("__gone")) & (F.col("__cid") == F.col("__c")) & (F.col("__chk") == F.col("__k")), "left_anti")
+    # several rows of the id that stays: of one text, or of texts of the same group
     stays = told.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    # a second row of the same id: same text, or another text of the same group
     again = stored(stays.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__again")))
     if again.limit(1).count():
-        hit = F.col("doc_id").eqNullSafe(F.col("__again"))
-        groups = stays.select(F.col("doc_id").alias("__i"), F.col("cid").alias("__c"), F.col("keep_id").alias("__k"), F.col("root").alias("__r")).distinct()
-        once = left.join(maybe_broadcast(again, 500_000), hit, "left_semi").join(groups, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__cid") == F.col("__c"))).dropDuplicates(["__i", "__r"])
+        hit = me.eqNullSafe(F.col("__again"))
+        roots = stays.select(F.col("doc_id").alias("__i"), F.col("cid").alias("__c"), F.col("chk").alias("__k"), F.col("root").alias("__r")).distinct()
+        once = left.join(maybe_broadcast(again, 500_000), hit, "left_semi").join(roots, me.eqNullSafe(F.col("__i")) & (F.col("__cid") == F.col("__c")) & (F.col("__chk") == F.col("__k"))).dropDuplicates(["__i", "__r"])
         left = left.join(maybe_broadcast(again, 500_000), hit, "left_anti").select(*columns).unionByName(once.select(*columns))
     return left.select(*columns)
 
