@@ -2,9 +2,10 @@
 
 Exact copies are folded first. Vectors are cut into cells by their leading three principal coordinates: linked unit
 vectors lie within sqrt(2 - 2t) of each other in every projection, so only cells that touch are compared, and a
-vector goes only to cells whose box is that near. Cells are split into blocks; a pair of blocks is one tile. A tile
-adds up products over the leading components and drops a pair once the rest, bounded by the norms of both suffixes,
-can't reach the threshold; what is left is verified on the original vectors in double precision.
+vector goes only to cells whose box is that near. Cells are split into blocks. A block's own vectors stay in one task,
+and those of the blocks that it meets pass by; of two blocks only one travels. A tile adds up products over the
+leading components and drops a pair once the rest, bounded by the norms of both suffixes, can't reach the threshold;
+what is left is verified on the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -12,15 +13,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import Forest, connected_components, lean_batches, maybe_broadcast, stored
+from tidegraph.functions.workers import discard, ready, stored
+from tidegraph.llm.common import connected_components, maybe_broadcast, spread
 
-#: Leading components that make cells, and vectors of a block.
-LEAD, BLOCK = 3, 384
+#: Leading components that make cells.
+LEAD = 3
+#: Vectors of a block, while that makes at most FINE blocks of a cell; larger cells have larger blocks, of at most so many bytes.
+BLOCK, FINE, BYTES = 4096, 8, 64 << 20
+#: Components are learned for so many lengths of vectors, the most frequent ones up to LONGEST; others are compared without.
+LENGTHS, LONGEST = 16, 2048
+#: Vectors compared at a time, and components added at a time.
+SIDE, STEP = 1024, 16
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -30,53 +38,92 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, turn: np.ndarray, threshold: float, step: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of all rows of unit vectors a and b whose cosine reaches the threshold. turn: components, leading first."""
-    x, y = a @ turn, b @ turn
-    rest_x = np.sqrt(np.maximum(0, np.cumsum((x * x)[:, ::-1], axis=1)[:, ::-1]))
-    rest_y = np.sqrt(np.maximum(0, np.cumsum((y * y)[:, ::-1], axis=1)[:, ::-1]))
-    slack, n = 1e-9, x.shape[1]
-    to = min(step, n)
-    got = x[:, :to] @ y[:, :to].T
-    bound = np.outer(rest_x[:, to], rest_y[:, to]) if to < n else 0.0
-    i, j = np.nonzero(got + bound >= threshold - slack)
-    part = got[i, j]
-    while to < n and len(i):
-        at, to = to, min(to + step, n)
-        part = part + np.einsum("ij,ij->i", x[i, at:to], y[j, at:to])
-        keep = part + (rest_x[i, to] * rest_y[j, to] if to < n else 0.0) >= threshold - slack
-        i, j, part = i[keep], j[keep], part[keep]
-    exact = np.einsum("ij,ij->i", a[i], b[j]) >= threshold
-    return i[exact], j[exact]
-
-
-def components_of(classes: DataFrame, dim: int) -> np.ndarray:
-    """Principal components of all unit vectors of one length: sums of products from every partition, added by Spark."""
+class Turned:
+    """Unit vectors, turned to their components, with the norms of what follows each step of components."""
+
+    def __init__(self, u: np.ndarray, turn: np.ndarray | None) -> None:
+        self.u, self.x = u, u if turn is None else u @ turn
+        cuts = range(STEP, self.x.shape[1], STEP)
+        squares = np.add.reduceat(self.x * self.x, range(0, self.x.shape[1], STEP), axis=1)
+        self.rest = np.sqrt(np.maximum(0, np.cumsum(squares[:, ::-1], axis=1)[:, ::-1][:, 1:])) if cuts else np.zeros((len(u), 0))
+
+
+def near_pairs(a: Turned, b: Turned, threshold: float, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all rows of a and b whose cosine reaches the threshold; i < j if both are the same."""
+    slack, n, found = 1e-9, a.x.shape[1], []
+    for i0 in range(0, len(a.x), SIDE):
+        for j0 in range(i0 if same else 0, len(b.x), SIDE):
+            got = a.x[i0 : i0 + SIDE, :STEP] @ b.x[j0 : j0 + SIDE, :STEP].T
+            if n > STEP:
+                i, j = np.nonzero(got + np.outer(a.rest[i0 : i0 + SIDE, 0], b.rest[j0 : j0 + SIDE, 0]) >= threshold - slack)
+            else:
+                i, j = np.nonzero(got >= threshold - slack)
+            part = got[i, j]
+            i, j = i + i0, j + j0
+            if same:
+                keep = i < j
+                i, j, part = i[keep], j[keep], part[keep]
+            for k, at in enumerate(range(STEP, n, STEP)):
+                if not len(i):
+                    break
+                part = part + np.einsum("ij,ij->i", a.x[i, at : at + STEP], b.x[j, at : at + STEP])
+                bound = a.rest[i, k + 1] * b.rest[j, k + 1] if at + STEP < n else 0.0
+                keep = part + bound >= threshold - slack
+                i, j, part = i[keep], j[keep], part[keep]
+            for at in range(0, len(i), 1 << 16):
+                x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                exact = np.einsum("ij,ij->i", a.u[x], b.u[y]) >= threshold
+                found.append((x[exact], y[exact]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
+def rows_of(v: pa.Array, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(v.to_pylist()), np.float64).reshape(-1, dim)
+
+
+def components_of(classes: DataFrame, dims: list[int]) -> dict[int, np.ndarray]:
+    """Principal components of all unit vectors of each of these lengths: sums of products from every partition, added by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((dim, dim))
+        total = {d: np.zeros((d, d)) for d in dims}
         for batch in batches:
-            u = unit(np.frombuffer(b"".join(batch.column("v").to_pylist()), np.float64).reshape(-1, dim))
-            total += u.T @ u
-        i, j = np.triu_indices(dim)
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=["i", "j", "s"])
+            dim = batch.column("dim").to_numpy(zero_copy_only=False)
+            for d in np.unique(dim).tolist():
+                u = unit(rows_of(batch.column("v").filter(pa.array(dim == d)), d))
+                total[d] += u.T @ u
+        for d, t in total.items():
+            i, j = np.triu_indices(d)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), d, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(t[i, j])], names=["d", "i", "j", "s"])
 
-    sums = classes.filter(F.col("dim") == dim).select("v").mapInArrow(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
-    m = np.zeros((dim, dim))
-    m[sums["i"], sums["j"]] = m[sums["j"], sums["i"]] = sums["s"]
-    return np.linalg.eigh(m)[1][:, ::-1].copy()
+    if not dims:
+        return {}
+    sums = classes.filter(F.col("dim").isin(dims)).select("dim", "v").mapInArrow(run, "d int, i int, j int, s double").groupBy("d", "i", "j").agg(F.sum("s").alias("s")).toPandas()
+    out = {}
+    for d, part in sums.groupby("d"):
+        m = np.zeros((d, d))
+        m[part["i"], part["j"]] = m[part["j"], part["i"]] = part["s"]
+        out[int(d)] = np.linalg.eigh(m)[1][:, ::-1].copy()
+    return out
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrays to bytes of doubles; vectors that can't link go."""
     for batch in batches:
         column = batch.column("embedding")
-        made = []
-        for x in column.to_pylist():
-            v = np.array([np.nan if c is None else c for c in x], np.float64)
-            made.append(v.tobytes() if len(v) and np.isfinite(v).all() and v.any() else None)
-        rows = pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(made, pa.binary())], names=["vec_id", "label", "v"])
-        yield rows.filter(pa.array([m is not None for m in made]))
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+        flat = np.asarray(pc.fill_null(column.flatten().cast(pa.float64()), np.nan))
+        ends = np.cumsum(sizes)
+        some = np.flatnonzero(sizes)
+        good = np.zeros(len(sizes), bool)
+        if len(some):
+            first = (ends - sizes)[some]
+            good[some] = np.logical_and.reduceat(np.isfinite(flat), first) & np.logical_or.reduceat(flat != 0, first)
+        raw = flat.tobytes()
+        made = [raw[8 * (e - n) : 8 * e] for e, n, g in zip(ends.tolist(), sizes.tolist(), good.tolist(), strict=True) if g]
+        keep = pa.array(good)
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id").filter(keep), batch.column("label").filter(keep), pa.array(made, pa.binary())], names=["vec_id", "label", "v"])
 
 
 def embedding_dedup(table: DataFrame, threshold: float = 0.93) -> DataFrame:
@@ -88,89 +135,135 @@ def embedding_dedup(table: DataFrame, threshold: float = 0.93) -> DataFrame:
     those of different lengths, link with nothing. Rows that repeat a vec_id are vectors of their own. No rows in, no
     rows out. Threshold: over 0 up to 1.
     """
-    spark = table.sparkSession
-    lean_batches(spark, 2048)
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
+    ready(table.sparkSession)
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = rows.filter("label is not null and embedding is not null").mapInArrow(_prepare, "vec_id long, label string, v binary")
-    good = stored(good.select("vec_id", "label", "v", F.xxhash64("label", "v").alias("cid")))
-    classes = stored(good.groupBy("cid", "label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("dim", F.expr("cast(length(v) / 8 as int)")))
-    dims = [r["dim"] for r in classes.select("dim").distinct().limit(65).collect()]
-    if len(dims) > 64:
-        raise ValueError("over 64 lengths of vectors: is embedding the right column?")
-    found = [_links(classes.filter(F.col("dim") == d), d, components_of(classes, d), threshold) for d in sorted(dims)]
-    if not found:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
-    links = stored(links)
+    good = stored(good.select("vec_id", "label", "v", F.xxhash64("label", "v").alias("cid"), F.xxhash64("v", "label").alias("chk")))
+    found = good.groupBy("cid", "chk").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    again = F.row_number().over(Window.partitionBy("cid").orderBy("chk"))  # a name for each class, even if 64 bits of two vectors agree
+    classes = stored(found.withColumn("dim", F.expr("cast(length(v) / 8 as int)")).withColumn("k", F.when(again == 1, F.col("cid")).otherwise(F.xxhash64("cid", "chk"))))
+    common = classes.filter(F.col("dim") <= LONGEST).groupBy("dim").count().filter("count > 1").orderBy(F.desc("count"), "dim").limit(LENGTHS).collect()
+    links = stored(_links(classes, components_of(classes, [r["dim"] for r in common]), threshold))
     degree = links.filter("b is null").groupBy(F.col("a").alias("c")).agg(F.sum("w").alias("w"))
     nodes = connected_components(links.filter("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    placed = stored(classes.select("cid", "least", "n").join(nodes, F.col("cid") == F.col("node"), "left").select("cid", "least", "n", F.coalesce("component", "cid").alias("root")))
+    placed = stored(classes.select("k", "cid", "chk", "least", "n").join(nodes, F.col("k") == F.col("node"), "left").select("k", "cid", "chk", "least", "n", F.coalesce("component", "k").alias("root")))
     named = stored(placed.groupBy("root").agg(F.min("least").alias("component_id")))
-    told = stored(placed.join(named, "root").join(degree, F.col("cid") == F.col("c"), "left").select(F.col("cid").alias("k"), "component_id", (F.col("n") - 1 + F.coalesce("w", F.lit(0))).alias("n_links")))
-    linked = good.select("vec_id", "cid").join(told, F.col("cid") == F.col("k")).select("vec_id", "n_links", "component_id")
+    told = placed.join(named, "root").join(degree, F.col("k") == F.col("c"), "left")
+    told = stored(told.select(F.col("cid").alias("c1"), F.col("chk").alias("c2"), "component_id", (F.col("n") - 1 + F.coalesce("w", F.lit(0))).alias("n_links")))
+    discard(classes, links, placed, named)
+    linked = good.select("vec_id", "cid", "chk").join(told, (F.col("cid") == F.col("c1")) & (F.col("chk") == F.col("c2"))).select("vec_id", "n_links", "component_id")
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
     alone = rows.filter(~F.coalesce(usable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _links(classes: DataFrame, dim: int, turn: np.ndarray, threshold: float) -> DataFrame:
-    """Classes of one length -> rows (a, b, w): (class, null, rows it links to in a tile) and edges (class, class, 0)."""
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    lead = min(LEAD, dim)
+def _cells(turns: dict[int, np.ndarray], reach: float):
+    """Each vector: its cell, and the touching cells whose box is within reach, itself first. Vectors of lengths without components are one cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dim = batch.column("dim").to_numpy(zero_copy_only=False)
+            cell, other = np.full(len(dim), "", object), np.empty(len(dim), object)
+            other[:] = [[""]] * len(dim)
+            for d in np.unique(dim).tolist():
+                if d not in turns:
+                    continue
+                at, lead = np.flatnonzero(dim == d), min(LEAD, d)
+                steps = np.stack(np.meshgrid(*[[0, -1, 1]] * lead, indexing="ij"), axis=-1).reshape(-1, lead)
+                x = unit(rows_of(batch.column("v").take(pa.array(at)), d)) @ turns[d][:, :lead] / reach
+                own = np.floor(x).astype(np.int64)
+                inside = x - own
+                gap = np.where(steps[None] < 0, inside[:, None], np.where(steps[None] > 0, 1 - inside[:, None], 0.0))
+                near = (gap * gap).sum(axis=2) <= 1.0 + 1e-9
+                name = lambda c: ",".join(map(str, c))
+                cell[at] = [name(c) for c in own.tolist()]
+                for k, i in enumerate(at.tolist()):
+                    other[i] = [name(c) for c in (own[k] + steps[near[k]]).tolist()]
+            columns = [batch.column(c) for c in ("k", "label", "dim", "v", "n")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cell.tolist(), pa.string()), pa.array(other.tolist(), pa.list_(pa.string()))], names=["k", "label", "dim", "v", "n", "cell", "near"])
+
+    return run
+
+
+def _tiles(turns: dict[int, np.ndarray], threshold: float):
+    """Sorted rows (label, dim, block, visits, k, v, n) -> rows (a, null, w): rows that a class links to, and edges (a, b, 0)."""
+    names = ("label", "dim", "block", "visits")
+
+    def told(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """(ids, weights, place, place) of linked pairs -> rows."""
+        for ids, n, x, y in pairs:
+            degree = np.bincount(x, weights=n[y], minlength=len(ids)) + np.bincount(y, weights=n[x], minlength=len(ids))
+            some, edges = np.flatnonzero(degree), spread(ids, x, y) if len(x) else []
+            a = np.concatenate([ids[some], np.array([p for p, _ in edges], np.int64)])
+            b = [None] * len(some) + [q for _, q in edges]
+            w = np.concatenate([degree[some].astype(np.int64), np.zeros(len(edges), np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, pa.int64()), pa.array(w)], names=["a", "b", "w"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own, ids, weights = None, [], [], []
+        block: Turned | None = None
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            nonlocal block
+            block = Turned(unit(np.concatenate(own)), turns.get(key[1]))
+            i, j = near_pairs(block, block, threshold, True)
+            yield from told([(np.concatenate(ids), np.concatenate(weights), i, j)])
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each vector: its cell, and the touching cells whose box is within reach, itself first."""
-        steps = np.stack(np.meshgrid(*[[-1, 0, 1]] * lead, indexing="ij"), axis=-1).reshape(-1, lead)
         for batch in batches:
-            u = unit(np.frombuffer(b"".join(batch.column("v").to_pylist()), np.float64).reshape(-1, dim)) @ turn[:, :lead]
-            own = np.floor(u / reach).astype(np.int64)
-            inside = u / reach - own
-            gap = np.where(steps[None] < 0, inside[:, None], np.where(steps[None] > 0, 1 - inside[:, None], 0.0))
-            near = (gap * gap).sum(axis=2) <= 1.0 + 1e-9
-            name = lambda c: ",".join(map(str, c))
-            other = [[name(c) for c in (own[k] + steps[near[k]]).tolist()] for k in range(len(own))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cid", "label", "v", "n")), pa.array([name(c) for c in own.tolist()], pa.string()), pa.array(other, pa.list_(pa.string()))], names=["cid", "label", "v", "n", "cell", "near"])
-
-    placed = stored(classes.select("cid", "label", "v", "n").mapInArrow(cells, "cid long, label string, v binary, n long, cell string, near array<string>"))
-    blocks = F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
-    sizes = stored(placed.groupBy("label", "cell").agg(blocks))
-    mine = sizes.select(F.col("label").alias("l1"), F.col("cell").alias("c1"), F.col("blocks").alias("own_blocks"))
-    yours = sizes.select(F.col("label").alias("l2"), F.col("cell").alias("c2"), F.col("blocks").alias("other_blocks"))
-    mine, yours = maybe_broadcast(mine), maybe_broadcast(yours)
-    sent = (
-        placed.join(mine, (F.col("label") == F.col("l1")) & (F.col("cell") == F.col("c1")))
-        .withColumn("block", F.expr("cast(pmod(xxhash64(cid, 7), own_blocks) as int)"))
+            if not batch.num_rows:
+                continue
+            columns = [np.array(batch.column(c).to_pylist(), object) for c in names]
+            edge = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))).tolist()
+            for a, b in zip(edge, [*edge[1:], batch.num_rows], strict=True):
+                here, part = tuple(c[a] for c in columns[:3]), batch.slice(a, b - a)
+                if here != key:
+                    if own and block is None:
+                        yield from closed()
+                    key, own, ids, weights, block = here, [], [], [], None
+                v, k, n = rows_of(part.column("v"), here[1]), part.column("k").to_numpy(), part.column("n").to_numpy()
+                if not columns[3][a]:
+                    own.append(v)
+                    ids.append(k)
+                    weights.append(n)
+                    continue
+                if block is None:
+                    yield from closed()
+                i, j = near_pairs(block, Turned(unit(v), turns.get(here[1])), threshold)
+                if len(i):
+                    mine, back = np.unique(i, return_inverse=True)
+                    yield from told([(np.concatenate([np.concatenate(ids)[mine], k]), np.concatenate([np.concatenate(weights)[mine], n]), back, j + len(mine))])
+        if own and block is None:
+            yield from closed()
+
+    return run
+
+
+def _links(classes: DataFrame, turns: dict[int, np.ndarray], threshold: float, only_sent: bool = False) -> DataFrame:
+    """Classes -> rows (a, b, w): (class, null, rows it links to in a tile) and edges (class, class, 0).
+
+    A vector is sent to its own block and to half of those that its block meets. Blocks grow with their cell, so that up
+    to FINE * BYTES of vectors in a cell cost a fixed number of copies of each.
+    """
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
+    placed = stored(classes.select("k", "label", "dim", "v", "n").mapInArrow(_cells(turns, reach), "k long, label string, dim int, v binary, n long, cell string, near array<string>"))
+    most = F.greatest(F.lit(1), F.floor(F.lit(BYTES) / (8 * F.col("dim"))))
+    few = F.ceil(F.count("*") / F.least(F.lit(BLOCK), most))
+    sizes = stored(placed.groupBy("label", "dim", "cell").agg(F.when(few <= FINE, few).otherwise(F.greatest(F.lit(FINE), F.ceil(F.count("*") / most))).cast("int").alias("blocks")))
+    mine = maybe_broadcast(sizes.select(F.col("label").alias("l1"), F.col("dim").alias("d1"), F.col("cell").alias("c1"), F.col("blocks").alias("own_blocks")))
+    yours = maybe_broadcast(sizes.select(F.col("label").alias("l2"), F.col("dim").alias("d2"), F.col("cell").alias("c2"), F.col("blocks").alias("other_blocks")))
+    met = (
+        placed.join(mine, (F.col("label") == F.col("l1")) & (F.col("dim") == F.col("d1")) & (F.col("cell") == F.col("c1")))
+        .withColumn("me", F.concat_ws("/", "cell", F.expr("cast(pmod(xxhash64(k, 7), own_blocks) as string)")))
         .withColumn("other", F.explode("near"))
-        .join(yours, (F.col("label") == F.col("l2")) & (F.col("other") == F.col("c2")))
-        .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
+        .join(yours, (F.col("label") == F.col("l2")) & (F.col("dim") == F.col("d2")) & (F.col("other") == F.col("c2")))
+        .withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), F.col("other_blocks") - 1), lambda j: F.concat_ws("/", "other", j.cast("string")))))
     )
-    first = (F.col("cell") < F.col("other")) | ((F.col("cell") == F.col("other")) & (F.col("block") <= F.col("j")))
-    me, it = F.concat_ws("/", "cell", F.col("block").cast("string")), F.concat_ws("/", "other", F.col("j").cast("string"))
-    tiles = sent.select(F.xxhash64("label", F.when(first, me).otherwise(it), F.when(first, it).otherwise(me)).alias("tile"), (me == it).alias("same"), first.alias("left"), "cid", "v", "n")
-
-    def tile(group: pd.DataFrame) -> pd.DataFrame:
-        v = unit(np.frombuffer(b"".join(group["v"]), np.float64).reshape(-1, dim))
-        ids, n, left = group["cid"].to_numpy(), group["n"].to_numpy(), group["left"].to_numpy()
-        same = bool(group["same"].iloc[0])
-        a, b = (np.arange(len(v)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": pd.array([], "Int64"), "w": np.zeros(0, np.int64)})
-        i, j = near_pairs(v[a], v[b], turn, threshold)
-        if same:
-            i, j = i[i < j], j[i < j]
-        x, y = a[i], b[j]
-        degree = np.bincount(x, weights=n[y], minlength=len(v)) + np.bincount(y, weights=n[x], minlength=len(v))
-        forest = Forest()
-        for p, q in zip(x.tolist(), y.tolist(), strict=True):
-            forest.join(p, q)
-        edges = [(p, q) for p, q in forest.edges() if p != q]
-        some = np.flatnonzero(degree)
-        return pd.DataFrame({
-            "a": np.concatenate([ids[some], ids[[p for p, _ in edges]] if edges else np.zeros(0, np.int64)]).astype(np.int64),
-            "b": pd.array([None] * len(some) + [int(ids[q]) for _, q in edges], "Int64"),
-            "w": np.concatenate([degree[some].astype(np.int64), np.zeros(len(edges), np.int64)]),
-        })
-
-    return tiles.groupBy("tile").applyInPandas(tile, "a long, b long, w long")
+    # of two blocks that meet, a hash says which one travels
+    first = F.xxhash64(F.least("me", "block"), F.greatest("me", "block")).bitwiseAND(F.lit(1)) == 0
+    visits = F.col("me") != F.col("block")
+    sent = met.filter(~visits | (F.when(first, F.least("me", "block")).otherwise(F.greatest("me", "block")) == F.col("block")))
+    sent = sent.select("label", "dim", "block", visits.alias("visits"), "k", "v", "n")
+    if only_sent:
+        return sent
+    sent = sent.repartition("label", "dim", "block").sortWithinPartitions("label", "dim", "block", "visits")
+    return sent.mapInArrow(_tiles(turns, threshold), "a long, b long, w long")
