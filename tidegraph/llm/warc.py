@@ -9,23 +9,27 @@ file system holds; `read_files` reads the same from .warc and .warc.gz files.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import lean_batches, stored
+from tidegraph.functions.workers import ready, stored
 
 # fixed values of the format
 VERSION = b"WARC/1.1"
+STARTS = re.compile(rb"WARC/\d\.\d\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
-RECORDS = "kind string, record_id string, origin string, number int, total long, page_id long, refers_to long, digest string, block binary"
+RECORDS = "kind string, record_id string, origin string, number int, total long, page_id long, refers_to long, digest string, block binary, error string"
+#: Kinds of records that are read.
+KINDS = ("response", "revisit", "resource", "conversion", "continuation")
 
 
 class BadRecord(ValueError):
@@ -112,23 +116,41 @@ def response_records(page_id: int | None, url: str | None, payload: bytes, sha:
         )
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields by lower-case name, block) of each record of an archive."""
+def number(text: str | None) -> int | None:
+    """A header's whole number."""
+    if text is None:
+        return None
+    try:
+        return int(text)
+    except ValueError as e:
+        raise BadRecord(f"not a number: {text[:40]}") from e
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """(header fields by lower-case name, block, error) of each record of an archive.
+
+    Where no whole record can be read there is an error instead of a record, and reading goes on where one seems to start.
+    """
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or end < 0:
-            raise BadRecord("no record where one should start")
-        fields = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
-            k, _, v = line.partition(b":")
-            fields[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
-        size = int(fields.get("content-length", "-1"))
-        at = end + 4 + size
-        if size < 0 or data[at : at + 4] != b"\r\n\r\n":
-            raise BadRecord("record cut short")
-        yield fields, data[end + 4 : at]
-        at += 4
+        fields: dict[str, str] = {}
+        try:
+            if not data.startswith(b"WARC/", at) or end < 0:
+                raise BadRecord("no record where one should start")
+            for line in data[at:end].split(b"\r\n")[1:]:
+                k, _, v = line.partition(b":")
+                fields[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
+            size = number(fields.get("content-length", "-1"))
+            stop = end + 4 + size
+            if size < 0 or data[stop : stop + 4] != b"\r\n\r\n":
+                raise BadRecord("record cut short")
+            yield fields, data[end + 4 : stop], None
+            at = stop + 4
+        except BadRecord as e:
+            yield fields, b"", str(e)
+            again = STARTS.search(data, at + 1)
+            at = again.start() if again else len(data)
 
 
 def write_pages(pages: DataFrame, segment: int = 4096, archive: int = 2 << 20) -> DataFrame:
@@ -138,7 +160,7 @@ def write_pages(pages: DataFrame, segment: int = 4096, archive: int = 2 << 20) -
     revisit it; rows that repeat a page_id and payload share its fate. Records are found equal by SHA-1 and length
     in a narrow table; the payloads of revisits don't travel.
     """
-    lean_batches(pages.sparkSession, 256)
+    ready(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("sha", F.sha1("html"))
     narrow = stored(rows.select("page_id", "sha", F.length("html").alias("n")))
@@ -173,46 +195,104 @@ def write_pages(pages: DataFrame, segment: int = 4096, archive: int = 2 << 20) -
     return marked.mapInArrow(run, "archive string, data binary")
 
 
+def unpacked(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """What a .warc or .warc.gz file holds, in pieces; members that follow each other are one stream. A harmed end is left out."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[i : i + step] for i in range(0, len(data), step))
+        return
+    rest = data
+    while rest[:2] == b"\x1f\x8b":
+        stream = zlib.decompressobj(31)
+        try:
+            more = rest
+            while not stream.eof:
+                piece = stream.decompress(more, step)
+                if piece:
+                    yield piece
+                more = stream.unconsumed_tail
+                if not more and not piece:
+                    return
+        except zlib.error:
+            return
+        rest = stream.unused_data
+
+
+def whole_records(pieces: Iterator[bytes], archive: int = 2 << 20) -> Iterator[bytes]:
+    """Pieces of a file -> archives of about so many bytes, cut between records, so that a large file isn't held at once."""
+    held, known, size = bytearray(), 0, len(b"\r\n\r\n")
+    for piece in pieces:
+        held += piece
+        while known < len(held):
+            end = held.find(b"\r\n\r\n", known)
+            if end < 0:
+                break
+            length = next((x.partition(b":")[2].strip() for x in bytes(held[known:end]).split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")), b"")
+            if not length.isdigit() or not held.startswith(b"WARC/", known):  # harmed: what follows is cut by its reader
+                known = end + size
+                continue
+            stop = end + size + int(length) + size
+            if stop > len(held):
+                break
+            known = stop
+            if known >= archive:
+                yield bytes(held[:known])
+                del held[:known]
+                known = 0
+    if held:
+        yield bytes(held)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """.warc and .warc.gz files -> archives (archive, data)."""
-    lean_batches(spark, 256)
+    """.warc and .warc.gz files -> archives (archive, data): rows of a few MB, cut between records. A file is read as one binary value, so that it may have up to 2 GB packed."""
+    ready(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [gzip.decompress(x) if x[:2] == b"\x1f\x8b" else x for x in batch.column("data").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("archive"), pa.array(data, pa.binary())], names=["archive", "data"])
+            for name, data in zip(batch.column("archive").to_pylist(), batch.column("data"), strict=True):
+                for part in whole_records(unpacked(data.as_py())):
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.binary())], names=["archive", "data"])
 
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), F.col("content").alias("data")).mapInArrow(run, "archive string, data binary")
 
 
-def _records(segments: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.string()), ("record_id", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("digest", pa.string()), ("block", pa.binary())])
-        whole = lambda x: None if x is None else int(x)
-        for batch in batches:
-            for data in batch.column("data").to_pylist():
-                rows = []
-                for f, block in parse(data):
-                    kind, number = f.get("warc-type"), f.get("warc-segment-number")
-                    if (number is not None) != segments or kind not in ("response", "revisit", "continuation"):
-                        continue
-                    rows.append((kind, f.get("warc-record-id"), f.get("warc-segment-origin-id"), whole(number), whole(f.get("warc-segment-total-length")), whole(f.get("x-page-id")), whole(f.get("x-refers-to-page-id")), f.get("warc-payload-digest"), None if kind == "revisit" else block))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+SCHEMA = pa.schema([("kind", pa.string()), ("record_id", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("digest", pa.string()), ("block", pa.binary()), ("error", pa.string())])
+
+
+def _record(f: dict[str, str], block: bytes, error: str | None) -> tuple:
+    kind = f.get("warc-type")
+    named = (f.get("warc-record-id"), f.get("warc-segment-origin-id"))
+    try:
+        if error:
+            raise BadRecord(error)
+        numbers = [number(f.get(k)) for k in ("warc-segment-number", "warc-segment-total-length", "x-page-id", "x-refers-to-page-id")]
+        if any(n is not None and abs(n) >= 1 << 63 for n in numbers) or (numbers[0] or 0) >= 1 << 31:
+            raise BadRecord("number out of range")
+        return (kind, *named, *numbers, f.get("warc-payload-digest"), None if kind == "revisit" else block, None)
+    except BadRecord as e:
+        return (kind or "unknown", *named, None, None, None, None, f.get("warc-payload-digest"), None, str(e))
+
 
-    return run
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column("data").to_pylist():
+            rows = [r for r in (_record(*x) for x in parse(data or b"")) if r[0] in KINDS or r[-1]]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
 
 
 def read_records(archives: DataFrame) -> DataFrame:
-    """archives -> record_id, page_id, kind, refers_to, digest, payload, error: every response and revisit, segments joined.
+    """archives -> record_id, page_id, kind, refers_to, digest, payload, error: every response, resource, conversion and revisit, segments joined.
 
-    Only segments are shuffled: by origin, in the order of their numbers, whose sum must be the announced total.
-    A response whose segments are incomplete, whose framing is broken or whose payload doesn't match its digest
-    keeps its row: error says why, payload is null. Revisits have a null payload. Empty archives: no rows.
+    Every archive is parsed once. Only segments are shuffled: by origin, in the order of their numbers, whose sum must be the announced total.
+    A record whose segments are incomplete, whose framing is broken or whose payload doesn't match its digest
+    keeps its row: error says why, payload is null. So does what can't be read as a record at all (kind unknown, or as far
+    as its header went); the records before and after it are read. Revisits have a null payload; the payload of resources
+    and conversions is their block. Other kinds (warcinfo, request, metadata) give no rows. Empty archives: no rows.
     """
-    lean_batches(archives.sparkSession, 256)
-    single = archives.mapInArrow(_records(False), RECORDS)
-    parts = archives.mapInArrow(_records(True), RECORDS)
+    ready(archives.sparkSession)
+    records = stored(archives.select("data").mapInArrow(_records, RECORDS))
+    single = records.filter("number is null")
+    parts = records.filter("number is not null")
     joined = (
         parts.groupBy(F.coalesce("origin", "record_id").alias("record_id"))
         .agg(
@@ -220,20 +300,20 @@ def read_records(archives: DataFrame) -> DataFrame:
             F.max("total").alias("total"),
             F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"),
         )
-        .select("record_id", "first.*", "total", "parts")
+        .select("record_id", "first.*", "total", "parts", F.lit(None).cast("string").alias("error"))
     )
     kinds = {"record_id": pa.string(), "page_id": pa.int64(), "kind": pa.string(), "refers_to": pa.int64(), "digest": pa.string(), "payload": pa.binary(), "error": pa.string()}
 
     def whole(row: dict) -> tuple[bytes | None, str | None]:
-        if row["kind"] == "revisit":
-            return None, None
+        if row["kind"] == "revisit" or row["error"]:
+            return None, row["error"]
         try:
             if row["total"] is None or row["kind"] is None or [p["number"] for p in row["parts"]] != list(range(1, len(row["parts"]) + 1)):
                 raise BadRecord("segments missing")
             block = b"".join(p["block"] for p in row["parts"])
             if len(block) != row["total"]:
                 raise BadRecord("total length")
-            body = http_body(block)
+            body = http_body(block) if row["kind"] == "response" else block
             if row["digest"] and row["digest"] != "sha1:" + digest32(body):
                 raise BadRecord("payload digest")
         except BadRecord as e:
@@ -249,8 +329,8 @@ def read_records(archives: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=list(kinds))
 
     shape = "record_id string, page_id long, kind string, refers_to long, digest string, payload binary, error string"
-    alone = single.select("record_id", "kind", "page_id", "refers_to", "digest", F.length("block").cast("long").alias("total"), F.array(F.struct(F.lit(1).alias("number"), "block")).alias("parts"))
-    return joined.select("record_id", "kind", "page_id", "refers_to", "digest", "total", "parts").unionByName(alone).mapInArrow(run, shape)
+    alone = single.select("record_id", "kind", "page_id", "refers_to", "digest", F.length("block").cast("long").alias("total"), F.array(F.struct(F.lit(1).alias("number"), "block")).alias("parts"), "error")
+    return joined.select("record_id", "kind", "page_id", "refers_to", "digest", "total", "parts", "error").unionByName(alone).mapInArrow(run, shape)
 
 
 def page_digests(records: DataFrame) -> DataFrame:
