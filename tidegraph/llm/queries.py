@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegraph.functions.workers import stored
 from tidegraph.llm import embeddings, langid, language_model, media, mixing, pieces, quality, simhash, urls, warc
-from tidegraph.llm.common import stored
 
 #: (host, path, verdict)
 RULES = (
@@ -81,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents),
 by_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
@@ -96,13 +96,13 @@ reached AS (SELECT level FROM levels WHERE level <= stops ORDER BY stops, source
 targets AS (
   SELECT l.source, l.source_size, least(2.0::DOUBLE * l.source_size, coalesce((SELECT level FROM reached), 'inf'::DOUBLE) * l.weight) AS target FROM levels l),
 passes AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::INTEGER ELSE 0 END AS passes FROM targets),
-tied AS (SELECT source, h, sum(size) AS words FROM sized GROUP BY source, h),
-ordered AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tied)
-SELECT d.doc_id, d.size, p.source_size, p.target,
+ordered AS (
+  SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT *, row_number() OVER (PARTITION BY source, h) AS nth FROM sized))
+SELECT o.doc_id, o.size, p.source_size, p.target,
        CASE WHEN p.source_size = 0 THEN 0
-            ELSE d.size * (p.passes + CASE WHEN o.before + o.words / 2.0 <= p.target - p.passes * p.source_size THEN 1 ELSE 0 END) END::BIGINT AS taken
-FROM sized d JOIN passes p ON d.source IS NOT DISTINCT FROM p.source
-JOIN ordered o ON d.source IS NOT DISTINCT FROM o.source AND d.h = o.h
+            ELSE o.size * (p.passes + CASE WHEN o.before + o.size / 2.0 <= p.target - p.passes * p.source_size THEN 1 ELSE 0 END) END::BIGINT AS taken
+FROM ordered o JOIN passes p ON o.source IS NOT DISTINCT FROM p.source
 """
 
 
