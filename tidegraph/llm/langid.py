@@ -17,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import lean_batches, slices
+from tidegraph.functions.workers import ready, stored
+from tidegraph.llm.common import slices
 
 UNKNOWN = "und"
 #: Characters handled at a time; longer texts run over, joined at their seams.
 CHARS = 1_000_000
+#: For each so many n-grams of a language's sample an n-gram must occur once more to count.
+PLENTY = 20_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _letters: np.ndarray | None = None
 
@@ -49,19 +52,22 @@ def grams(points: np.ndarray, order: int) -> np.ndarray:
 
 
 def clean(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts as one sequence of lower-case letters, every run of other characters one space, and whose each is.
-
-    A space stands before and after each text, so no n-gram of letters reaches over two.
-    """
-    low = [t.lower() for t in texts]
-    points = np.frombuffer((" " + " ".join(low) + " ").encode("utf-32-le"), np.uint32)
-    whose = np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])
-    whose = np.append(whose, max(len(low) - 1, 0))
+    """All texts as one sequence of lower-case letters, every run of other characters one space, and whose each is. A space stands before and after each text."""
+    low = [f" {t.lower()} " for t in texts]
+    points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    whose = np.repeat(np.arange(len(low)), [len(t) for t in low])
     points = np.where(letters()[points], points, 32)
-    keep = np.concatenate(([True], (points[1:] != 32) | (points[:-1] != 32)))
+    keep = np.concatenate(([True], (points[1:] != 32) | (points[:-1] != 32) | (whose[1:] != whose[:-1])))
     return points[keep].astype(np.uint64), whose[keep]
 
 
+def grams_of(points: np.ndarray, whose: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every n-gram that lies within one text, whose it is); single characters are letters."""
+    h = grams(points, order)
+    inside = points != 32 if order == 1 else whose[: len(h)] == whose[order - 1 :][: len(h)]
+    return h[inside], whose[: len(h)][inside]
+
+
 def pieces(texts: list[str], seam: int) -> Iterator[tuple[list[int], list[str]]]:
     """(numbers, texts) of about CHARS characters; a longer text comes in parts that overlap by `seam` characters."""
     numbers, part, size = [], [], 0
@@ -89,7 +95,7 @@ class Model:
     probes: int = 3
 
     @staticmethod
-    def fit(found: pd.DataFrame, orders: tuple[int, ...], bits: int = 20, near: float = 0.5, least: int = 3, probes: int = 3) -> Model:
+    def fit(found: pd.DataFrame, orders: tuple[int, ...], bits: int = 20, near: float = 0.5, probes: int = 3) -> Model:
         """found: lang, gram (signed 64-bit hash), n."""
         languages = sorted(found["lang"].unique().tolist()) if len(found) else []
         words = max(1, -(-len(languages) // 64))
@@ -99,7 +105,7 @@ class Model:
         if len(found):
             share = found["n"] / found.groupby("lang")["n"].transform("sum")
             top = share.groupby(found["gram"]).transform("max")
-            held = found[(share >= near * top) & (found["n"] >= least)]
+            held = found[share >= near * top]
             for i, lang in enumerate(languages):
                 h = held.loc[held["lang"] == lang, "gram"].to_numpy(np.int64).view(np.uint64)
                 for p in range(probes):
@@ -119,13 +125,7 @@ class Model:
             numbers = np.array(numbers)
             points, whose = clean(part)
             for order in self.orders:
-                h = grams(points, order)
-                if not len(h):
-                    continue
-                at = whose[: len(h)]
-                if order == 1:
-                    real = points[: len(h)] != 32
-                    h, at = h[real], at[real]
+                h, at = grams_of(points, whose, order)
                 mask = self.slots[self.slot(h, 0, bits)]
                 for p in range(1, self.probes):
                     mask = mask & self.slots[self.slot(h, p, bits)]
@@ -155,14 +155,15 @@ class Model:
         return names, np.where(some, score, 0.0), np.where(some, np.clip(top / np.maximum(total, 1), 0, 1), 0.0)
 
 
-def train(labelled: DataFrame, per_language: int = 1500, orders: tuple[int, ...] = (1, 3)) -> Model:
+def train(labelled: DataFrame, per_language: int = 1500, orders: tuple[int, ...] = (1, 3), least: int = 3) -> Model:
     """labelled (doc_id, text, lang) -> model, from about `per_language` whole documents of each language.
 
-    The sample is by a hash of the id, at a rate that each language's document count gives; rarer languages are
-    read whole. Null texts and languages are left out. Only the n-grams of that sample reach the driver.
+    The sample is by a hash of id and text, at a rate that each language's document count gives; rarer languages are
+    read whole, and of rows alike one. Null texts and languages are left out. Only the n-grams of that sample reach the
+    driver; of a language with many, those that occur `least` times or more. Up to 4,096 languages; a column with more is refused.
     """
     spark = labelled.sparkSession
-    lean_batches(spark)
+    ready(spark)
     labelled = labelled.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
     sizes = [(r["lang"], r["count"]) for r in labelled.groupBy("lang").count().limit(4097).collect()]
     if len(sizes) > 4096:
@@ -170,7 +171,7 @@ def train(labelled: DataFrame, per_language: int = 1500, orders: tuple[int, ...]
     rates = [(lang, int(min(1.0, per_language / n) * (1 << 30))) for lang, n in sizes]
     if not rates:
         return Model([], np.zeros((1, 1), np.uint8), np.zeros(0), orders)
-    chosen = labelled.join(F.broadcast(spark.createDataFrame(rates, "lang string, rate long")), "lang").filter(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) < F.col("rate")).select("lang", "text")
+    chosen = labelled.join(F.broadcast(spark.createDataFrame(rates, "lang string, rate long")), "lang").filter(F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(1 << 30)) < F.col("rate")).select("doc_id", "lang", "text").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,13 +180,15 @@ def train(labelled: DataFrame, per_language: int = 1500, orders: tuple[int, ...]
                 for lang in dict.fromkeys(langs):
                     texts = [t for t, x in zip(piece.column("text").to_pylist(), langs, strict=True) if x == lang]
                     for _, part in pieces(texts, max(orders) - 1):
-                        points, _ = clean(part)
+                        points, whose = clean(part)
                         for order in orders:
-                            gram, n = np.unique(grams(points, order) if order > 1 else grams(points[points != 32], 1), return_counts=True)
+                            gram, n = np.unique(grams_of(points, whose, order)[0], return_counts=True)
                             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    found = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter("n >= 3")
-    return Model.fit(found.toPandas(), orders)
+    found = stored(chosen.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    total = found.groupBy("lang").agg(F.sum("n").alias("total"))
+    rare = F.least(F.lit(least), F.floor(F.col("total") / PLENTY) + 1)  # of a short sample all n-grams count
+    return Model.fit(found.join(F.broadcast(total), "lang").filter(F.col("n") >= rare).select("lang", "gram", "n").toPandas(), orders)
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
@@ -194,7 +197,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     `und` with score 0 where the text is null or has no letter (or where nothing was learned). Ties go to the first
     language by code point. Whole texts of any length. Repeated rows each get a row; empty input gives none.
     """
-    lean_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +213,10 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
 
 
 def identify(docs: DataFrame, parts: int = 4, out: int = 2, per_language: int = 1500) -> DataFrame:
-    """Learns from documents whose crc32(doc_id) mod `parts` is not `out` and predicts all: doc_id, held_out, lang_pred, score, held."""
+    """Learns from documents whose crc32(doc_id) mod `parts` is not `out` and predicts all: doc_id, held_out, lang_pred, score, held.
+
+    Rows without an id are learned from. Repeated rows each get a row; empty input gives none; without labels all are `und`.
+    """
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
     held_out = F.coalesce(rest == out, F.lit(False))
     model = train(docs.filter(~held_out).select("doc_id", "text", "lang"), per_language)
