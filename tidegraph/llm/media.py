@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import lean_batches, slices
+from tidegraph.functions.workers import ready
+from tidegraph.llm.common import slices
 
 # fixed values of the format
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -104,8 +105,8 @@ def encode_png(samples: bytes, width: int = WIDTH, colour: int = 0, row_filter:
     return SIGNATURE + chunk(b"IHDR", head) + b"".join(chunk(b"IDAT", packed[i : i + most]) for i in range(0, len(packed), most)) + chunk(b"IEND", b"")
 
 
-def decode_png(data: bytes) -> tuple[np.ndarray, int]:
-    """(rows of sample bytes, channels) of a picture; BadPicture for anything cut, changed or of another kind."""
+def decode_png(data: bytes, most: int = 1 << 30) -> tuple[np.ndarray, int]:
+    """(rows of sample bytes, channels) of a picture of at most so many bytes; BadPicture for anything cut, changed or of another kind."""
     if data[:8] != SIGNATURE:
         raise BadPicture("signature")
     at, head, packed, ended = 8, None, [], False
@@ -132,11 +133,15 @@ def decode_png(data: bytes) -> tuple[np.ndarray, int]:
     if not head or head[2] != 8 or head[3] not in CHANNELS or head[4:] != (0, 0, 0):
         raise BadPicture("only 8 bits, grey or true colour, not interlaced")
     width, height, step = head[0], head[1], CHANNELS[head[3]]
+    size = height * (width * step + 1)
+    if size > most:
+        raise BadPicture("too large")
     try:
-        raw = zlib.decompress(b"".join(packed))
+        stream = zlib.decompressobj()
+        raw = stream.decompress(b"".join(packed), size + 1)  # no more than the header announces
     except zlib.error as e:
         raise BadPicture(str(e)) from e
-    if len(raw) != height * (width * step + 1):
+    if len(raw) != size or not stream.eof:
         raise BadPicture("amount of data")
     lines = np.frombuffer(raw, np.uint8).reshape(height, width * step + 1)
     return unfiltered(lines[:, 0], lines[:, 1:], step), step
@@ -168,7 +173,7 @@ def payload(text: str | None) -> tuple[int, bytes]:
 
 def to_media(docs: DataFrame, key: str = "doc_id", text: str = "text", row_filter: int = 2) -> DataFrame:
     """Every row of docs -> doc_id, n_bytes, media: its text as a grey picture of 64 columns in a binary column. Null like empty."""
-    lean_batches(docs.sparkSession, 256)
+    ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +190,7 @@ def media_features(media: DataFrame) -> DataFrame:
     All are computed from the stored bytes. Null or harmed media keep their row: its error says why, the payload's
     columns and the feature are null.
     """
-    lean_batches(media.sparkSession, 256)
+    ready(media.sparkSession)
     kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "error": pa.string()}
 
     def one(data: bytes | None) -> tuple:
