@@ -94,12 +94,12 @@ def test_answers_and_tools(spark):
     rows = spark.createDataFrame([(1, "tools.b(tools.a())", "s"), (2, "tools.a() + tools.b()", "t"), (3, "tools.kill(tools.a())", "u"), (4, " ", "v"), (5, "tools.a()", "w")], "seq int, code string, summary string")
     assert [(r["seq"], r["name"]) for r in records.toolkit(rows, ["kill"]).collect()] == [(1, "proc__a__b")]
     assert {r["seq"] for r in records.toolkit(rows, ["kill"], True).collect()} == {1, 3}
-    assert one(spark, records.review(F.col("a")), a="nonsense").asDict() == {"approved": True, "confidence": 0.0, "issues": []}
+    assert one(spark, records.review(F.col("a")), a="nonsense").asDict() == {"approved": True, "feedback": "", "confidence": 0.0, "issues": [], "failure_dimension": []}
     assert one(spark, records.review(F.col("a")), a='{"approved": false, "confidence": 0.7}')["approved"] is False
-    assert [g["gap"] for g in one(spark, records.gaps(F.col("a")), a=json.dumps([{"gap": "x"}, {"gap": "y", "resolvable": False}, {"gap": " "}]))] == ["x"]
+    assert [g["gap"] for g in one(spark, records.gaps(F.col("a")), a=json.dumps([{"gap": "x"}, {"gap": "y", "resolvable": False}, {"gap": ""}]))] == ["x"]
     assert tuple(one(spark, records.verdict(F.col("a")), a="so\nVerdict: Good\nReason: it is")) == ("good", "it is")
     assert one(spark, records.verdict(F.col("a")), a="?")["verdict"] == "unclear"
-    assert one(spark, records.email_body(F.lit("b"), F.lit(""), F.lit("r"), F.array(F.lit("x"), F.lit("y"))), a=1) == "Background:\nb\n\nResolution:\nr\n\nProcedure:\n1. x\n2. y"
+    assert one(spark, records.email_body(F.lit("b"), F.lit(""), F.lit("r"), F.array(F.lit("x"), F.lit("y"))), a=1) == "Background:\nb\n\nResolution:\nr\n\nInvestigation procedure:\n  1. x\n  2. y"
     assert one(spark, records.merge_hints(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("1")), F.create_map(F.lit("b"), F.lit("2"))), a=1) == {"a": "1", "b": "2"}
-    assert one(spark, records.task_query(F.lit("failed"), F.lit("<b>x</b> #tok y")), a=1) == "task status failed x y"
+    assert one(spark, records.task_query(F.lit("failed"), F.lit("<b>x</b> #tok y")), a=1)["nl_query"] == "task status failed. task status failed. x y"
     assert [one(spark, records.decoded(F.col("a")), a=x) for x in (["t"], ["a", "b"], ['{"k": 1}'])] == ["t", '["a","b"]', '{"k":1}']

@@ -54,3 +54,10 @@ def test_code_search(spark):
     assert [(r["name"], r["class"], r["words"]) for r in code.longest_phrase(found, "error: no space left here").collect()] == [("run", "A", 3)]
     assert [(r["name"], r["score"]) for r in code.overlap(found, ["space left", "no space", "device"]).collect()] == [("run", 3)]
     assert code.longest_phrase(found, "").count() == 0
+    whole = "the disk has filled up and there is no space left on device today"
+    more = code.methods(spark.createDataFrame([("a.py", f"def f():\n    raise E('{whole} x')"), ("b.py", "def g():\n    raise E('there is no space left on device')")], "module string, text string"))
+    assert [(r["name"], r["words"]) for r in code.longest_phrase(more, whole).collect()] == [("f", 14)]  # more than eight words
+    assert code.longest_run("b c d", "a b c d".split()) == (3, 1)
+    assert code.longest_run("a b x c d", "a b c d".split()) == (2, 0)
+    read = code.expand(more, ["filled up"], lambda seen: ["no space left"] if seen.count() == 1 else [])
+    assert sorted((r["name"], r["round"]) for r in read.collect()) == [("f", 0), ("g", 1)]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ast
 import hashlib
+import re
+from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +13,8 @@ from pyspark.sql import functions as F
 # fixed values: name spaces of version-5 UUIDs
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 NAMESPACE_OID = "6ba7b8129dad11d180b400c04fd430c8"
+# fixed value: targets of links in error texts and pages
+HREF = r"""(?i)<a\s+[^>]*href=["']([^"']+)["'][^>]*>"""
 
 
 def uuid5(name: Column, namespace: str = NAMESPACE_URL) -> Column:
@@ -48,7 +53,7 @@ def gist(text: Column, limit: int = 200) -> Column:
 
 def hrefs(html: Column) -> Column:
     """Targets of all anchors, in order."""
-    return F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), 1)
+    return F.regexp_extract_all(html, F.lit(HREF), 1)
 
 
 def code_hash(code: Column) -> Column:
@@ -87,9 +92,18 @@ def procedure_name(tools: Column) -> Column:
     return F.when(F.length(name) > 60, F.concat(F.substring(name, 1, 51), F.lit("_"), F.substring(F.sha2(name, 256), 1, 8))).otherwise(name)
 
 
+def references(code: str | None) -> list[str] | None:
+    """Names used as `tools.<name>` in code, sorted; null where it can't be parsed."""
+    try:
+        tree = ast.parse(code or "")
+    except (SyntaxError, ValueError):
+        return None
+    return sorted({n.attr for n in ast.walk(tree) if isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name) and n.value.id == "tools"})
+
+
 def tool_references(code: Column) -> Column:
-    """Names that code calls on `tools`, distinct and sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(code, F.lit(r"\btools\.(\w+)"), 1)))
+    """Names that code uses of `tools`, called or not, sorted, by its syntax tree; null where it can't be parsed."""
+    return F.pandas_udf(lambda c: c.map(references), "array<string>")(code)
 
 
 def same_model(a: Column, b: Column) -> Column:
@@ -102,3 +116,23 @@ def cosine(a: Column, b: Column, epsilon: float = 0.0) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + epsilon
     return dot(a, b) / F.nullif(norms, F.lit(0.0))
+
+
+def config_namespace(config: str, provider: str) -> str:
+    """A short id of a tool configuration and a provider."""
+    return hashlib.sha1(f"{config}|{provider}".encode()).hexdigest()[:16]
+
+
+def confidence_band(confidence: Column) -> Column:
+    """high from 0.7, medium from 0.4, else low."""
+    return F.when(confidence >= 0.7, "high").when(confidence >= 0.4, "medium").otherwise("low")
+
+
+def expanded(text: str, variables: Mapping[str, str]) -> str:
+    """text with each ${NAME} replaced by the variable of that name; names that aren't there stay as they are."""
+    return re.sub(r"\$\{([^}]+)\}", lambda m: variables.get(m[1], m[0]), text)
+
+
+def quoted(value: Column) -> Column:
+    """A text between single quotes, None for null."""
+    return F.coalesce(F.concat(F.lit("'"), value.cast("string"), F.lit("'")), F.lit("None"))

@@ -8,6 +8,7 @@ from collections import defaultdict
 from collections.abc import Sequence
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,14 +101,17 @@ def align(a: Folded, b: Folded, window: int = 30, patience: int = 20) -> tuple[i
 
 
 def tail_place(a: Folded, b: Folded, size: int = 30, share: float = 0.8) -> int | None:
-    """The first line of b where its last `size` lines are mostly a's last ones; null where a's end isn't in b."""
+    """The first line of b where its last `size` lines are mostly a's last ones; null where a's end isn't in b.
+
+    Lines are numbered by their text, and all windows of b that end like a are compared at once.
+    """
     if min(len(a.norm), len(b.norm)) < size:
         return None
-    tail = a.norm[-size:]
-    for end in range(size, len(b.norm) + 1):
-        if b.norm[end - 1] == tail[-1] and sum(x == y for x, y in zip(b.norm[end - size : end], tail, strict=True)) >= share * size:
-            return end - 1
-    return None
+    numbers: dict[str, int] = {}
+    tail, every = (np.array([numbers.setdefault(x, len(numbers)) for x in lines]) for lines in (a.norm[-size:], b.norm))
+    ends = np.flatnonzero(every[size - 1 :] == tail[-1])
+    alike = (np.lib.stride_tricks.sliding_window_view(every, size)[ends] == tail).sum(axis=1) >= share * size
+    return int(ends[alike][0]) + size - 1 if alike.any() else None
 
 
 def _time(line: str) -> datetime | None:

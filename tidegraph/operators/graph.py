@@ -33,24 +33,35 @@ def merge_nodes(existing: DataFrame, new: DataFrame, order: str = "seq") -> Data
     return existing.unionByName(fresh, allowMissingColumns=True)
 
 
-def merge_edges(observations: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """Observations -> edges with graph_ids (sorted), frequency (distinct graphs), confidence (mean over graphs), parameters.
+def with_ends(observations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Observations both of whose ends are there."""
+    ends = nodes.select(F.col("node_type"), F.col("name")).distinct()
+    for side in ("src", "tgt"):
+        observations = observations.join(ends.select(F.col("node_type").alias(f"{side}_type"), F.col("name").alias(side)), [f"{side}_type", side], "left_semi")
+    return observations
+
 
-    A graph counts once per edge, by its first observation (seq is unique there); a blank graph_id adds no provenance. With nodes, an edge
-    needs both ends there. Both levels of grouping combine before they shuffle.
+def once_per_graph(observations: DataFrame) -> DataFrame:
+    """The store of edges: one row per edge and graph, by its first observation (seq is unique there). A blank graph_id adds no provenance.
+
+    Which graphs an edge has is this table; no row holds a list that grows with the corpus.
     """
-    if nodes is not None:
-        ends = nodes.select(F.col("node_type"), F.col("name")).distinct()
-        for side in ("src", "tgt"):
-            observations = observations.join(ends.select(F.col("node_type").alias(f"{side}_type"), F.col("name").alias(side)), [f"{side}_type", side], "left_semi")
     told = observations.withColumn("graph_id", F.trim(F.coalesce("graph_id", F.lit(""))))
-    once = told.groupBy(*EDGE, "graph_id").agg(F.min_by("confidence", "seq").alias("confidence"), F.min("seq").alias("seq"))
-    given = F.nullif("graph_id", F.lit(""))
-    edges = once.groupBy(*EDGE).agg(F.sort_array(F.collect_list(given)).alias("graph_ids"), F.count(given).alias("frequency"), F.avg("confidence").alias("confidence"))
-    # texts keep an aggregate from hashing, so that parameters go their own way; few observations have any
-    first = told.filter("parameters is not null").join(once.select(*EDGE, "graph_id", "seq"), [*EDGE, "graph_id", "seq"], "left_semi")
-    parameters = first.groupBy(*EDGE).agg(F.array_sort(F.collect_list("parameters")).alias("parameters"))
-    return edges.join(parameters, EDGE, "left").withColumn("parameters", F.coalesce("parameters", F.array().cast("array<string>")))
+    return told.groupBy(*EDGE, "graph_id").agg(F.min_by("confidence", "seq").alias("confidence"), F.min("seq").alias("seq"))
+
+
+def merge_edges(observations: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Observations -> edges with frequency (distinct graphs) and confidence (mean over graphs). With nodes, an edge needs both ends there. Both levels of grouping combine before they shuffle."""
+    once = once_per_graph(observations if nodes is None else with_ends(observations, nodes))
+    return once.groupBy(*EDGE).agg(F.count(F.nullif("graph_id", F.lit(""))).alias("frequency"), F.avg("confidence").alias("confidence"))
+
+
+def provenance(observations: DataFrame, edges: DataFrame) -> DataFrame:
+    """edges with graph_ids and parameters (both sorted) of those asked for: the parameters of each graph's first observation."""
+    told = observations.withColumn("graph_id", F.trim(F.coalesce("graph_id", F.lit("")))).join(edges.select(*EDGE).distinct(), EDGE, "left_semi")
+    first = told.groupBy(*EDGE, "graph_id").agg(F.min_by("parameters", "seq").alias("parameters"))
+    lists = first.groupBy(*EDGE).agg(F.sort_array(F.collect_list(F.nullif("graph_id", F.lit("")))).alias("graph_ids"), F.array_sort(F.collect_list("parameters")).alias("parameters"))
+    return edges.join(lists, EDGE, "left")
 
 
 def remove_graph(observations: DataFrame, nodes: DataFrame, graph_ids: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -96,30 +107,47 @@ def storable(nodes: DataFrame, observations: DataFrame) -> DataFrame:
     return nodes.filter(F.col("node_type") != VECTOR_ONLY).join(ends, "name", "left_semi")
 
 
-def remap(observations: DataFrame, ids: DataFrame) -> DataFrame:
-    """Observations with ends replaced by stored ids (name -> id); those with an end that isn't stored go."""
+def remap(observations: DataFrame, ids: DataFrame, parameters: DataFrame | None = None) -> DataFrame:
+    """Observations with ends replaced by stored ids (name -> id); those with an end that isn't stored go. Procedures' parameters (name, parameters)
+    fill those that an `investigated_by` edge to them lacks."""
     a = ids.select(F.col("name").alias("src"), F.col("id").alias("src_id"))
     b = ids.select(F.col("name").alias("tgt"), F.col("id").alias("tgt_id"))
-    return observations.join(a, "src").join(b, "tgt")
+    out = observations.join(a, "src").join(b, "tgt")
+    if parameters is None:
+        return out
+    own = parameters.select(F.col("name").alias("tgt"), F.col("parameters").alias("__own"))
+    return out.join(own, "tgt", "left").withColumn("parameters", F.when(F.col("rel") == "investigated_by", F.coalesce("parameters", "__own")).otherwise(F.col("parameters"))).drop("__own")
 
 
 def dedup_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One node per (node_type, name), one edge per (src, tgt, rel), the first by seq; self-loops go."""
-    return _first(nodes, ["node_type", "name"], ["seq"]), _first(edges.filter("src <> tgt"), ["src", "tgt", "rel"], ["seq"])
+    """One node per (node_type, name), one edge per (src, tgt, rel), the first by seq; edges by ids follow the node that stays, and self-loops go."""
+    kept = _first(nodes, ["node_type", "name"], ["seq"])
+    if "id" in nodes.columns:
+        to = nodes.select("node_type", "name", F.col("id").alias("__id")).join(kept.select("node_type", "name", F.col("id").alias("__to")), ["node_type", "name"]).select("__id", "__to")
+        for side in ("src", "tgt"):
+            edges = edges.join(to, F.col(side) == F.col("__id"), "left").withColumn(side, F.coalesce("__to", side)).drop("__id", "__to")
+    return kept, _first(edges.filter("src <> tgt"), ["src", "tgt", "rel"], ["seq"])
 
 
-def reconcile_links(nodes: DataFrame, edges: DataFrame, confidence: float = 0.7) -> DataFrame:
-    """Edges missing within each graph between every symptom, component, environment and cause, and cause and resolution.
+def reconcile_grouped(rows: DataFrame, confidence: float = 0.7) -> DataFrame:
+    """rows (graph_id, node: struct(node_type, name), edge: struct(src, rel, tgt)), either null -> the edges missing within each graph.
 
-    nodes and edges carry graph_id; the join is within a graph, whose nodes come from one incident.
+    One grouping: a graph's nodes and edges are one incident, and all its pairs are made from its own lists.
     """
-    me = nodes.select("graph_id", F.col("node_type").alias("src_type"), F.col("name").alias("src")).distinct()
-    it = nodes.select("graph_id", F.col("node_type").alias("tgt_type"), F.col("name").alias("tgt")).distinct()
-    rel = F.create_map(*[F.lit(x) for pair in LINKS_TO_CAUSES.items() for x in pair])
-    to_cause = me.filter(F.col("src_type").isin(*LINKS_TO_CAUSES)).join(it.filter("tgt_type = 'Cause'"), "graph_id").withColumn("rel", rel[F.col("src_type")])
-    solved = me.filter("src_type = 'Cause'").join(it.filter("tgt_type = 'Resolution'"), "graph_id").withColumn("rel", F.lit("solved_by"))
-    made = to_cause.unionByName(solved)
-    return made.join(edges.select("graph_id", "src", "rel", "tgt"), ["graph_id", "src", "rel", "tgt"], "left_anti").withColumn("confidence", F.lit(confidence))
+    per = rows.groupBy("graph_id").agg(F.collect_set("node").alias("nodes"), F.collect_set("edge").alias("edges"))
+    names = lambda kind: F.transform(F.filter("nodes", lambda n: n["node_type"] == kind), lambda n: n["name"])
+    pairs = lambda a, rel, b: F.flatten(F.transform(names(a), lambda x: F.transform(names(b), lambda y: F.struct(x.alias("src"), F.lit(rel).alias("rel"), y.alias("tgt")))))
+    made = F.concat(*(pairs(kind, rel, "Cause") for kind, rel in LINKS_TO_CAUSES.items()), pairs("Cause", "solved_by", "Resolution"))
+    kind = F.create_map(*[F.lit(x) for k, rel in LINKS_TO_CAUSES.items() for x in (rel, k)], F.lit("solved_by"), F.lit("Cause"))
+    missing = per.select("graph_id", F.explode(F.array_except(made, "edges")).alias("e"))
+    return missing.select("graph_id", kind[F.col("e.rel")].alias("src_type"), "e.src", F.when(F.col("e.rel") == "solved_by", "Resolution").otherwise("Cause").alias("tgt_type"), "e.tgt", "e.rel", F.lit(confidence).alias("confidence"))
+
+
+def reconcile_links(nodes: DataFrame, edges: DataFrame, confidence: float = 0.7) -> DataFrame:
+    """Edges missing within each graph between every symptom, component, environment and cause, and cause and resolution. nodes and edges carry graph_id."""
+    n, e = "struct<node_type:string,name:string>", "struct<src:string,rel:string,tgt:string>"
+    a = nodes.select("graph_id", F.struct("node_type", "name").cast(n).alias("node"), F.lit(None).cast(e).alias("edge"))
+    return reconcile_grouped(a.unionByName(edges.select("graph_id", F.lit(None).cast(n).alias("node"), F.struct("src", "rel", "tgt").cast(e).alias("edge"))), confidence)
 
 
 def concept_edges(nodes: DataFrame, edges: DataFrame, wanted: Sequence[str], target: str, rel: str, confidence: float) -> DataFrame:
@@ -163,7 +191,8 @@ def procedure_fields(procedures: DataFrame, include_tentative: bool = False) ->
     out = procedures if include_tentative else procedures.filter(F.coalesce(get("status"), F.lit("")) != "tentative")
     names = F.coalesce(F.from_json(get("signature"), "array<string>"), F.array().cast("array<string>"))
     text = {k: F.coalesce(get(k), F.lit("")) for k in ("orchestration_code", "code_summary", "tool_name", "trigger_signals", "result_summary")}
-    return out.withColumns({**text, "external_access": flag("external_access", "has_side_effects"), "signature": names})
+    auto = F.coalesce(F.col("auto_run"), flag("auto_run")) if "auto_run" in out.columns else flag("auto_run")
+    return out.withColumns({**text, "external_access": flag("external_access", "has_side_effects"), "signature": names, "auto_run": auto})
 
 
 def find_procedures(edges: DataFrame, procedures: DataFrame, causes: Sequence[str], include_tentative: bool = False) -> DataFrame:
@@ -203,6 +232,31 @@ def novelty(edges: DataFrame, symptoms: DataFrame) -> DataFrame:
     return symptoms.select("name").distinct().join(known, "name", "left").select("name", F.coalesce("k", F.lit(False)).alias("matched"))
 
 
+def causes_unless_novel(edges: DataFrame, causes: DataFrame, clues: DataFrame, limit: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(causes of the clues, symptoms without any known cause): one such symptom makes the incident novel, and no cause is given."""
+    unmatched = novelty(edges, clues.filter("clue_type = 'Symptom'").select(F.col("clue").alias("name"))).filter("not matched").select("name")
+    found = find_causes(edges, causes, clues, limit=limit)
+    gate = unmatched.agg(F.count("*").alias("__unmatched"))
+    return found.join(F.broadcast(gate), F.col("__unmatched") == 0).drop("__unmatched"), unmatched
+
+
+def causes_of_symptom(edges: DataFrame, causes: DataFrame, symptom: str, limit: int = 10) -> DataFrame:
+    """The causes that one symptom leads to."""
+    return find_causes(edges, causes, edges.sparkSession.createDataFrame([("Symptom", symptom)], "clue_type string, clue string"), limit=limit)
+
+
+def procedures_of_cause(edges: DataFrame, procedures: DataFrame, cause: str) -> DataFrame:
+    """The procedures that investigate one cause."""
+    return find_procedures(edges, procedures, [cause])
+
+
+def set_auto_run(procedures: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(procedures with auto_run set by changes (name, value, seq), name and whether it was there of each change)."""
+    out = override(procedures, changes, "auto_run", ["name"])
+    there = procedures.select("name", F.lit(True).alias("matched")).distinct()
+    return out, changes.select("name").distinct().join(there, "name", "left").select("name", F.coalesce("matched", F.lit(False)).alias("matched"))
+
+
 def clue_lists(nodes: DataFrame) -> DataFrame:
     """Per graph the names of each kind of clue; contexts by their description."""
     text = F.when(F.col("node_type") == VECTOR_ONLY, F.col("description")).otherwise(F.col("name"))
@@ -232,3 +286,21 @@ def chain(links: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:
         step = step.select("start", (F.col("hop") + 1).alias("hop"), F.col("next").alias("id"), F.concat("seen", F.array("next")).alias("seen"))
         out = out.unionByName(step)
     return out.drop("seen")
+
+
+# fixed values: what is kept of a task in a chain of retries
+CHAIN_FIELDS = ("status", "errorDialog", "retryID", "transUses")
+
+
+def retry_chain(tasks: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:
+    """starts (task_id) -> start, hop, task_id and CHAIN_FIELDS of up to `hops` tasks that each was a retry of; errors are cut to 500 characters. It ends at unknown tasks and where it has been."""
+    links = tasks.select(F.col("task_id").alias("id"), F.col("retryID").alias("next"))
+    path = chain(links, starts.select(F.col("task_id").alias("id")), hops).filter("hop > 0").withColumnRenamed("id", "task_id")
+    fields = [F.substring(F.col(c).cast("string"), 1, 500).alias(c) if c == "errorDialog" else F.col(c) for c in CHAIN_FIELDS]
+    return path.join(tasks.select("task_id", *fields), "task_id").select("start", "hop", "task_id", *CHAIN_FIELDS)
+
+
+def parent_task(tasks: DataFrame, starts: DataFrame) -> DataFrame:
+    """starts (task_id, retryID) -> task_id, and all fields of its parent as a struct; null where it isn't known."""
+    parent = tasks.select(F.col("task_id").alias("__id"), F.struct(*tasks.columns).alias("parent"))
+    return starts.join(parent, F.col("retryID") == F.col("__id"), "left").select("task_id", "parent")

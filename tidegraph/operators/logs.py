@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegraph.functions.registry import Registry
+
 # fixed values: patterns of lines worth keeping and of what differs between runs of the same program
 SIGNAL = (
     r"(?iU)error|exception|traceback|fatal|critical|warning|warn|fail|abort|killed|timeout|segfault|panic|denied|refused|missing|not found"
@@ -210,12 +212,19 @@ def render_funnel(lines: DataFrame, key: str = "log_id", top: int = 3, most: int
 
 
 def filter_auto(lines: DataFrame, sources: DataFrame | None = None, key: str = "log_id") -> DataFrame:
-    """The filter that fits each log: a funnel's (by its source, prod or analysis, else as analysis), or the general one."""
-    named = lines.select(key).distinct().withColumn("source", F.lit("analysis")) if sources is None else sources.select(key, "source")
-    prod = lines.join(named.filter("source = 'prod'").select(key), key, "left_semi")
-    other = lines.join(named.filter("source = 'prod'").select(key), key, "left_anti")
-    funnels = render_funnel(other, key).unionByName(render_funnel(prod, key, availability=False))
-    return filtered_text(lines, key).join(funnels.select(key), key, "left_anti").unionByName(funnels)
+    """The filter that fits each log: the one registered for its source (key, source), else the first registered one that gives a text, else the general one."""
+    named = None if sources is None else sources.select(key, "source").filter(F.col("source").isin(*FILTERS.names()))
+    rest, out = lines, None
+    for source in FILTERS.names():
+        mine = rest if named is None else rest.join(named.filter(F.col("source") == source).select(key), key, "left_semi")
+        if named is None and out is not None:
+            mine = mine.join(out.select(key), key, "left_anti")
+        told = FILTERS.get(source)(mine, key)
+        out = told if out is None else out.unionByName(told)
+    if named is not None:  # logs of no known source
+        other = lines.join(named.select(key), key, "left_anti")
+        out = out.unionByName(FILTERS.get(FILTERS.names()[0])(other, key))
+    return filtered_text(lines, key).join(out.select(key), key, "left_anti").unionByName(out)
 
 
 def log_source(label: Column) -> Column:
@@ -223,15 +232,26 @@ def log_source(label: Column) -> Column:
     return F.when(label == "managed", "prod").otherwise("analysis")
 
 
-def keyword_windows(lines: DataFrame, words: tuple[str, ...], key: str = "log_id", span: int = 5) -> DataFrame:
-    """Lines where all words stand within the next `span` lines, and no hit began in the `span` lines before -> first lines of hits."""
+def keyword_windows(lines: DataFrame, words: tuple[str, ...], key: str = "log_id", span: int = 5, around: int = 10, most: int = 10) -> DataFrame:
+    """Files (lines by key) where all words stand within `span` lines -> key, line (from 1), context: `around` lines before and after.
+
+    A hit skips the next `span` lines of its file; over all files the first `most` by key and line are given.
+    """
     by = Window.partitionBy(key).orderBy("line_no")
     near = by.rowsBetween(0, span - 1)
-    hit = None
+    window = F.lower(F.array_join(F.collect_list("line").over(near), " "))
+    hit = F.lit(True)
     for w in words:
-        one = F.max(F.contains(F.lower("line"), F.lit(w.lower())).cast("int")).over(near) == 1
-        hit = one if hit is None else hit & one
-    rows = lines.withColumn("hit", hit).filter("hit")
+        hit = hit & F.contains(window, F.lit(w.lower()))
     step = lambda s, x: F.when((F.size(s) == 0) | (x - F.element_at(s, -1) >= span), F.concat(s, F.array(x))).otherwise(s)
-    starts = rows.groupBy(key).agg(F.array_sort(F.collect_list("line_no")).alias("l"))
-    return starts.select(key, F.explode(F.aggregate("l", F.array().cast("array<int>"), step)).alias("line_no"))
+    starts = lines.withColumn("hit", hit).filter("hit").groupBy(key).agg(F.array_sort(F.collect_list("line_no")).alias("l"))
+    first = starts.select(key, F.explode(F.aggregate("l", F.array().cast("array<int>"), step)).alias("at")).orderBy(key, "at").limit(most)
+    shown = lines.join(F.broadcast(first), key).filter(F.col("line_no").between(F.col("at") - around, F.col("at") + span + around - 1))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    return shown.groupBy(key, "at").agg(text.alias("context")).select(key, (F.col("at") + 1).alias("line"), "context").orderBy(key, "line")
+
+
+#: Filters of logs by the name of their source: functions of (lines, key) to (key, text).
+FILTERS = Registry("log filter")
+FILTERS.register("analysis", lambda lines, key: render_funnel(lines, key))
+FILTERS.register("prod", lambda lines, key: render_funnel(lines, key, availability=False))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.functions.scalars import procedure_name, tool_references
+from tidegraph.operators.classify import tolerant_json, unfenced
 
 # fixed values: how task parameters stand in the lists of a documentation page
 PARAMETER = r"(?m)^[ \t]*\* - (\S+)[ \t]*\n(?:(?![ \t]*- )[ \t]*\S[^\n]*\n)*[ \t]*- [^\n]*\n(?:(?![ \t]*- )[ \t]*\S[^\n]*\n)*[ \t]*- ([^\n]*(?:\n(?![ \t]*\* - |[ \t]*- )[ \t]*\S[^\n]*)*)"
@@ -38,7 +39,7 @@ def lookup(tokens: DataFrame, table: DataFrame) -> DataFrame:
 
 def toolkit(procedures: DataFrame, changing: Sequence[str], allow: bool = False) -> DataFrame:
     """procedures (seq, code, summary) that can be offered as tools: with code, two tools or more, none that changes things unless allowed, the first of each name."""
-    refs = tool_references(F.col("code"))
+    refs = F.coalesce(tool_references(F.col("code")), F.array().cast("array<string>"))
     out = procedures.filter(F.trim(F.coalesce("code", F.lit(""))) != "").withColumn("tools", refs).filter("size(tools) >= 2")
     if not allow:
         out = out.filter(~F.arrays_overlap("tools", F.array(*map(F.lit, changing))))
@@ -48,9 +49,8 @@ def toolkit(procedures: DataFrame, changing: Sequence[str], allow: bool = False)
 
 
 def has_side_effects(code: Column, changing: Sequence[str]) -> Column:
-    """Whether code refers to a tool that changes things; code without any reference counts as such."""
-    refs = tool_references(code)
-    return F.when(F.size(refs) == 0, True).otherwise(F.arrays_overlap(refs, F.array(*map(F.lit, changing))))
+    """Whether code uses a tool that changes things; code that can't be parsed counts as such, code without any tool doesn't."""
+    return F.coalesce(F.arrays_overlap(tool_references(code), F.array(*map(F.lit, changing)).cast("array<string>")), F.lit(True))
 
 
 def explorer_tools(tools: DataFrame, interactive: bool) -> DataFrame:
@@ -65,15 +65,19 @@ def tool_text(name: Column, description: Column, arguments: Column) -> Column:
 
 def gaps(answers: Column) -> Column:
     """Gaps with text that can be resolved, from a JSON list; resolvable unless said otherwise."""
-    parsed = F.from_json(answers, "array<struct<gap:string,resolvable:boolean>>")
+    parsed = tolerant_json(answers, "array<struct<gap:string,resolvable:boolean>>")
     return F.filter(F.coalesce(parsed, F.array().cast("array<struct<gap:string,resolvable:boolean>>")), lambda g: F.coalesce(g["resolvable"], F.lit(True)) & (F.trim(F.coalesce(g["gap"], F.lit(""))) != ""))
 
 
 def review(answer: Column) -> Column:
-    """A review's JSON; one that can't be read approves with confidence 0."""
-    parsed = F.from_json(answer, "approved boolean, confidence double, issues array<string>")
-    good = parsed["approved"].isNotNull()
-    return F.struct(F.coalesce(parsed["approved"], F.lit(True)).alias("approved"), F.when(good, F.coalesce(parsed["confidence"], F.lit(0.0))).otherwise(0.0).alias("confidence"), F.coalesce(parsed["issues"], F.array().cast("array<string>")).alias("issues"))
+    """A review's JSON (approved unless it says otherwise, confidence 1 by default); one that can't be read approves with confidence 0."""
+    parsed = tolerant_json(answer, "approved boolean, feedback string, confidence double, issues array<string>, failure_dimension array<string>")
+    good = F.try_parse_json(unfenced(answer)).isNotNull() & parsed.isNotNull()
+    none = F.array().cast("array<string>")
+    return F.struct(
+        F.coalesce(parsed["approved"], F.lit(True)).alias("approved"), F.coalesce(parsed["feedback"], F.lit("")).alias("feedback"), F.when(good, F.coalesce(parsed["confidence"], F.lit(1.0))).otherwise(0.0).alias("confidence"),
+        F.coalesce(parsed["issues"], none).alias("issues"), F.coalesce(parsed["failure_dimension"], none).alias("failure_dimension"),
+    )
 
 
 def verdict(text: Column) -> Column:
@@ -89,8 +93,11 @@ def decoded(results: Column) -> Column:
 
 
 def digest(nodes: DataFrame, names: int = 5) -> DataFrame:
-    """Per graph and type: how many nodes, and the first names."""
-    return nodes.groupBy("graph_id", "node_type").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("name")), 1, names).alias("names"))
+    """nodes (graph_id, node_type, name) -> per graph and type how many there are, and the first names; no more than those are gathered."""
+    by = Window.partitionBy("graph_id", "node_type").orderBy("name")
+    first = nodes.select("graph_id", "node_type", "name").distinct().withColumn("r", F.row_number().over(by)).filter(F.col("r") <= names)
+    listed = first.groupBy("graph_id", "node_type").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    return nodes.groupBy("graph_id", "node_type").agg(F.count("*").alias("n")).join(listed, ["graph_id", "node_type"])
 
 
 def last_turns(turns: DataFrame, n: int = 5, cut: int = 200) -> DataFrame:
@@ -116,10 +123,21 @@ def revoke(policies: DataFrame, hash_prefix: str | None = None, name_prefix: str
     return policies.filter(~hit)
 
 
-def task_query(status: Column, error: Column) -> Column:
-    """Words to search for: the status, and the error without markup and #tokens, at most 120 characters."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(error, r"<[^>]+>", " "), r"#\w+", " "), r"\s+", " "))
-    return F.concat_ws(" ", F.concat(F.lit("task status "), status), F.substring(plain, 1, 120))
+def task_query(status: Column, error: Column, answer: Column | None = None) -> Column:
+    """struct(nl_query, keyword_query) to search for: the status, and a model's question and keywords (JSON nl_query, keywords; or a list of
+    keywords), or without them the error without markup and #tokens, at most 120 characters. Null where there is nothing to ask."""
+    state = F.when(F.coalesce(status, F.lit("")) != "", F.concat(F.lit("task status "), status))
+    bare = F.regexp_replace(F.regexp_replace(F.nullif(F.coalesce(error, F.lit("")), F.lit("")), r"<[^>]+>", " "), "#[^ ]+", " ")
+    plain = F.trim(F.regexp_replace(F.concat_ws(". ", F.when(bare.isNotNull(), state), F.nullif(bare, F.lit(""))), r"\s+", " "))
+    if answer is None:
+        asked, words = F.lit(None).cast("string"), F.lit(None).cast("string")
+    else:
+        told, listed = tolerant_json(answer, "nl_query string, keywords array<string>"), tolerant_json(answer, "array<string>")
+        keywords = F.filter(F.coalesce(told["keywords"], listed), lambda x: F.coalesce(x, F.lit("")) != "")
+        asked, words = F.nullif(told["nl_query"], F.lit("")), F.nullif(F.array_join(keywords, " "), F.lit(""))
+    fallback = F.when(words.isNull(), F.nullif(F.substring(plain, 1, 120), F.lit("")))
+    question = F.coalesce(asked, fallback)
+    return F.when(state.isNotNull() | question.isNotNull(), F.struct(F.concat_ws(". ", state, question).alias("nl_query"), F.concat_ws(" ", state, words).alias("keyword_query")))
 
 
 def merge_hints(first: Column, second: Column) -> Column:
@@ -129,9 +147,25 @@ def merge_hints(first: Column, second: Column) -> Column:
 
 def email_body(background: Column, cause: Column, resolution: Column, steps: Column) -> Column:
     """Sections in fixed order, steps numbered; empty ones are left out."""
-    part = lambda title, text: F.when(F.trim(F.coalesce(text, F.lit(""))) != "", F.concat(F.lit(f"{title}:\n"), text))
-    numbered = F.array_join(F.transform(steps, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s)), "\n")
-    return F.concat_ws("\n\n", part("Background", background), part("Cause", cause), part("Resolution", resolution), part("Procedure", numbered))
+    part = lambda title, text: F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(f"{title}:\n"), text))
+    numbered = F.array_join(F.transform(steps, lambda s, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), s)), "\n")
+    return F.concat_ws("\n\n", part("Background", background), part("Cause", cause), part("Resolution", resolution), part("Investigation procedure", numbered))
+
+
+def same_email(a: Column, b: Column) -> Column:
+    """Whether two bodies (structs of background, cause, resolution, procedure) say the same; what is missing is empty."""
+    same = F.lit(True)
+    for k in ("background", "cause", "resolution"):
+        same = same & (F.coalesce(a[k], F.lit("")) == F.coalesce(b[k], F.lit("")))
+    none = F.array().cast("array<string>")
+    return same & F.coalesce(a["procedure"], none).eqNullSafe(F.coalesce(b["procedure"], none))
+
+
+def split_rule_hints(tasks: DataFrame, table: DataFrame) -> DataFrame:
+    """tasks (task_id, splitRule), table (name, description) -> task_id, place, name, description of the rules whose key the table has, each once."""
+    rules = tasks.select("task_id", F.posexplode(F.split("splitRule", ",")).alias("place", "rule")).filter(F.instr("rule", "=") > 0)
+    keyed = rules.select("task_id", "place", F.trim(F.substring_index("rule", "=", 1)).alias("name")).filter("name <> ''")
+    return keyed.groupBy("task_id", "name").agg(F.min("place").alias("place")).join(table.select("name", "description"), "name").select("task_id", "place", "name", "description")
 
 
 def page_url(path: Column, prefix: str, base: str) -> Column:
