@@ -57,18 +57,18 @@ SELECT name, match_score, frequency, confidence FROM hit JOIN cause USING (name)
 ORDER BY match_score DESC, frequency DESC, confidence DESC, name LIMIT 10""")
 def graph_find_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The causes that the first clue of each type leads to."""
-    obs = tables.edge_observations(spark, sf_dir)
-    clues = obs.groupBy(F.col("src_type").alias("clue_type")).agg(F.min("src").alias("clue"))
-    return graph.find_causes(obs, tables.causes(spark, sf_dir), clues).select("name", "match_score", "frequency", "confidence")
+    clues = tables.first_clues(spark, sf_dir)
+    asked = {r["clue_type"]: [r["clue"]] for r in clues.collect()}  # one of each type
+    return graph.find_causes(tables.edge_observations(spark, sf_dir, asked), tables.causes(spark, sf_dir), clues).select("name", "match_score", "frequency", "confidence")
 
 
 @query(f"""WITH {OBS}
-SELECT src_type, src, rel, tgt, count(*) AS frequency, round(sum(confidence) * 100)::BIGINT AS confidence_cents, md5(array_to_string(list_sort(list(graph_id)), ',')) AS graphs
+SELECT src_type, src, rel, tgt, count(*) AS frequency, round(sum(confidence) * 100)::BIGINT AS confidence_cents
 FROM once GROUP BY 1, 2, 3, 4""")
 def graph_merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All observations merged to edges."""
     e = graph.merge_edges(tables.edge_observations(spark, sf_dir))
-    return e.select("src_type", "src", "rel", "tgt", "frequency", F.round(F.col("confidence") * F.col("frequency") * 100).cast("long").alias("confidence_cents"), F.md5(F.array_join("graph_ids", ",")).alias("graphs"))
+    return e.select("src_type", "src", "rel", "tgt", "frequency", F.round(F.col("confidence") * F.col("frequency") * 100).cast("long").alias("confidence_cents"))
 
 
 @query(f"""WITH {OBS}
@@ -99,14 +99,15 @@ def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {OBS},
-gone AS (SELECT o_orderkey::VARCHAR AS g FROM orders WHERE o_orderstatus = 'F'),
-rest AS (SELECT * FROM obs WHERE graph_id NOT IN (SELECT g FROM gone))
+new AS (SELECT 'Symptom' AS src_type, o_orderstatus AS src, 'indicate' AS rel, 'closed ' || o_orderpriority AS tgt, o_orderkey::VARCHAR AS graph_id FROM orders WHERE o_orderstatus = 'F'),
+rest AS (SELECT src_type, src, rel, tgt, graph_id FROM obs WHERE graph_id NOT IN (SELECT graph_id FROM new) UNION ALL SELECT * FROM new)
 SELECT src_type, rel, count(DISTINCT src || '|' || tgt) AS edges, count(DISTINCT graph_id) AS graphs FROM rest GROUP BY 1, 2""")
 def graph_reprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left by type without the graphs of finished orders."""
+    """Edges by type after the graphs of finished orders were replaced."""
     obs = tables.edge_observations(spark, sf_dir)
-    gone = tables.table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("graph_id"))
-    rest = graph.reprocess(obs, gone.join(obs.limit(0), "graph_id", "left").select(*obs.columns).filter("src is not null or graph_id is not null")).filter("src is not null")
+    o = tables.table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
+    new = o.select(F.lit("Symptom").alias("src_type"), F.col("o_orderstatus").alias("src"), F.lit("indicate").alias("rel"), F.lit("Cause").alias("tgt_type"), F.concat(F.lit("closed "), "o_orderpriority").alias("tgt"), F.col("o_orderkey").cast("string").alias("graph_id"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("parameters"), F.lit(0).cast("long").alias("seq"))
+    rest = graph.reprocess(obs, new)
     return rest.groupBy("src_type", "rel").agg(F.count_distinct(F.concat("src", F.lit("|"), "tgt")).alias("edges"), F.count_distinct("graph_id").alias("graphs"))
 
 
@@ -126,8 +127,11 @@ SELECT l.graph_id, (a * b - coalesce(h.n, 0))::BIGINT AS added FROM links l LEFT
 def graph_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many links between the clues and causes of an order are missing."""
     obs = tables.edge_observations(spark, sf_dir)
-    nodes = obs.select("graph_id", F.col("src_type").alias("node_type"), F.col("src").alias("name")).union(obs.select("graph_id", "tgt_type", "tgt")).distinct()
-    return graph.reconcile_links(nodes, obs.select("graph_id", "src", "rel", "tgt").distinct()).groupBy("graph_id").agg(F.count("*").alias("added"))
+    n, e = "struct<node_type:string,name:string>", "struct<src:string,rel:string,tgt:string>"
+    node = lambda kind, name: F.struct(F.struct(F.col(kind).alias("node_type"), F.col(name).alias("name")).cast(n).alias("node"), F.lit(None).cast(e).alias("edge"))
+    edge = F.struct(F.lit(None).cast(n).alias("node"), F.struct("src", "rel", "tgt").cast(e).alias("edge"))
+    rows = obs.select("graph_id", F.explode(F.array(node("src_type", "src"), node("tgt_type", "tgt"), edge)).alias("x")).select("graph_id", "x.*")
+    return graph.reconcile_grouped(rows).groupBy("graph_id").agg(F.count("*").alias("added"))
 
 
 @query(f"""WITH {OBS}
@@ -280,17 +284,27 @@ def vector_greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.greedy_clusters(tables.points(spark, sf_dir), 0.85)
 
 
-@query("""WITH t AS (SELECT o_custkey AS key, o_orderkey::VARCHAR AS name, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos,
-  (10 + o_orderkey % 40)::BIGINT AS full_, FROM orders),
-s AS (SELECT *, sum(full_) OVER w AS sum, row_number() OVER w AS nth FROM t WINDOW w AS (PARTITION BY key ORDER BY pos)),
-m AS (SELECT *, max(((sum > 100 AND nth > 1) OR nth > 25)::INT) OVER (PARTITION BY key ORDER BY pos) AS misfit FROM s)
-SELECT key, name, pos FROM m WHERE misfit = 0""")
+@query("""WITH RECURSIVE t AS (SELECT o_custkey AS key, o_orderkey::VARCHAR AS name, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos,
+  (10 + o_orderkey % 40)::BIGINT AS full_, (5 + o_orderkey % 7)::BIGINT AS compact FROM orders),
+walk AS (
+  SELECT key, pos, full_ AS used, false AS misfit, 'full' AS tier FROM t WHERE pos = 0
+  UNION ALL
+  SELECT t.key, t.pos, w.used + CASE WHEN NOT w.misfit AND t.pos < 25 AND w.used + t.full_ <= 100 THEN t.full_ ELSE 0 END, w.misfit OR t.pos >= 25 OR w.used + t.full_ > 100,
+    CASE WHEN NOT w.misfit AND t.pos < 25 AND w.used + t.full_ <= 100 THEN 'full' END FROM walk w JOIN t ON t.key = w.key AND t.pos = w.pos + 1),
+rest AS (SELECT t.*, row_number() OVER (PARTITION BY t.key ORDER BY t.pos) AS r FROM t JOIN walk w ON w.key = t.key AND w.pos = t.pos WHERE w.tier IS NULL),
+spent AS (SELECT key, max(used) AS used FROM walk WHERE tier = 'full' GROUP BY 1),
+fill AS (
+  SELECT r.key, r.r, r.pos, s.used + CASE WHEN s.used + r.compact <= 100 THEN r.compact ELSE 0 END AS used, s.used + r.compact <= 100 AS taken FROM rest r JOIN spent s ON s.key = r.key WHERE r.r = 1
+  UNION ALL
+  SELECT r.key, r.r, r.pos, f.used + CASE WHEN f.used + r.compact <= 100 THEN r.compact ELSE 0 END, f.used + r.compact <= 100 FROM fill f JOIN rest r ON r.key = f.key AND r.r = f.r + 1)
+SELECT t.key, t.name, t.pos, 'full' AS tier FROM walk w JOIN t ON t.key = w.key AND t.pos = w.pos WHERE w.tier = 'full'
+UNION ALL SELECT t.key, t.name, t.pos, 'compact' FROM fill f JOIN t ON t.key = f.key AND t.pos = f.pos WHERE f.taken""")
 def vector_tool_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer's first orders whose costs fit a budget."""
+    """Each customer's orders whose costs fit a budget: whole ones first, then short ones."""
     o = tables.table(spark, sf_dir, "orders")
     pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
     t = o.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").cast("string").alias("name"), pos.cast("long").alias("pos"), (10 + F.col("o_orderkey") % 40).alias("full"), (5 + F.col("o_orderkey") % 7).alias("compact"))
-    return vectors.pack(t, 100).filter("tier = 'full'").select("key", "name", "pos")
+    return vectors.pack(t, 100).select("key", "name", "pos", "tier")
 
 
 @query("""SELECT vec_id AS id, label::VARCHAR AS section, h FROM (SELECT vec_id, label, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || (label || ':' || vec_id)::BLOB) AS s,
@@ -302,16 +316,23 @@ def vector_point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # records
 
-TIME_CASE = "CASE WHEN {0} < 3600 THEN '<1h' WHEN {0} < 21600 THEN '1-6h' WHEN {0} < 86400 THEN '6-24h' ELSE '>24h' END"
+def _cases(x: str, steps: tuple) -> str:
+    return "CASE " + " ".join(f"WHEN {x} < {upper} THEN '{label}'" if upper else f"ELSE '{label}'" for upper, label in steps) + " END"
+
+
+RAM = (512, "<512MB"), (1024, "512MB-1GB"), (2048, "1-2GB"), (3072, "2-3GB"), (4096, "3-4GB"), (6144, "4-6GB"), (8192, "6-8GB"), (12288, "8-12GB"), (16384, "12-16GB"), (32768, "16-32GB"), (None, ">32GB")
+SPACE = (1024, "<1GB"), (10240, "1-10GB"), (102400, "10-100GB"), (None, ">100GB")
+SPANS = (3600, "<1h"), (21600, "1-6h"), (86400, "6-24h"), (None, ">24h")
 
 
-@query(f"""SELECT p_partkey AS id, CASE WHEN p_retailprice < 512 THEN '<512MB' WHEN p_retailprice < 1024 THEN '512MB-1GB' WHEN p_retailprice < 2048 THEN '1-2GB' WHEN p_retailprice < 3072 THEN '2-3GB' ELSE 'more' END AS ram,
- {TIME_CASE.format('p_size * 1800')} AS walltime FROM part""")
+@query(f"""SELECT p_partkey AS id, {_cases('p_retailprice * (p_partkey % 40)', RAM)} AS ram, {_cases('p_retailprice * (p_partkey % 200)', SPACE)} AS disk, {_cases('p_size * 1800', SPANS)} AS walltime,
+ {_cases('p_size * 4', ((10, '<10MB/s'), (100, '10-100MB/s'), (None, '>100MB/s')))} AS io, {_cases('p_size * 40', ((100, 'low(<100)'), (1000, 'medium(100-1000)'), (None, 'high(>1000)')))} AS intensity, p_type AS other FROM part""")
 def classify_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices and sizes of parts as bucketed numbers."""
+    """Prices and sizes of parts as bucketed numbers, and a text that is none."""
     p = tables.table(spark, sf_dir, "part")
-    ram = classify.bucket("ramCount", F.col("p_retailprice").cast("string"))
-    return p.select(F.col("p_partkey").alias("id"), F.when(ram.isin("<512MB", "512MB-1GB", "1-2GB", "2-3GB"), ram).otherwise("more").alias("ram"), classify.bucket("walltime", (F.col("p_size") * 1800).cast("string")).alias("walltime"))
+    price, size, key = F.col("p_retailprice"), F.col("p_size"), F.col("p_partkey")
+    told = {"ram": ("ramCount", price * (key % 40)), "disk": ("outDiskCount", price * (key % 200)), "walltime": ("walltime", size * 1800), "io": ("diskIO", size * 4), "intensity": ("ioIntensity", size * 40), "other": ("cpuTime", F.col("p_type"))}
+    return p.select(key.alias("id"), *(classify.bucket(k, x.cast("string")).alias(name) for name, (k, x) in told.items()))
 
 
 @query("""WITH n AS (
@@ -333,11 +354,21 @@ def classify_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.classify(rows, SALT).groupBy("node_type", "name").agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT regexp_replace(regexp_replace(c_name, '\d+\.\d+', '<FLOAT>', 'g'), '\d+', '<INT>', 'g') AS normalised, count(*) AS n, arg_min(c_name, (length(c_name), c_custkey)) AS representative FROM customer GROUP BY 1""")
+ERROR_TEXT = "'<b>job</b> ' || o_orderpriority || ' of ' || o_orderkey || ' at 2024-05-0' || (o_orderkey % 9) || 'T10:00:0' || (o_orderkey % 10) || 'Z took ' || (o_orderkey % 100) || '.5 s on n' || (o_orderkey % 3) || '.grid.example.org id ab12cd34-' || lpad(o_orderkey::VARCHAR, 12, 'e') || '-aaaa-bbbbbbbbb'"
+
+
+@query(rf"""WITH e AS (SELECT o_orderkey AS seq, {ERROR_TEXT} AS error FROM orders),
+n AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(error, '<[^>]+>', ' ', 'g'), '\d{{4}}-\d{{2}}-\d{{2}}[T ]\d{{2}}:\d{{2}}:\d{{2}}\S*', '<TS>', 'g'), '\d+\.\d+', '<FLOAT>', 'g'), '\d+', '<INT>', 'g'),
+  '[0-9a-fA-F]{{8}}-[0-9a-fA-F-]{{27}}', '<UUID>', 'g'), '\b[\w-]+(?:\.[\w-]+){{2,}}\b', '<HOST>', 'g') AS x FROM e)
+SELECT trim(regexp_replace(x, '\s+', ' ', 'g')) AS normalised, count(*) AS n, arg_min(error, (length(error), seq)) AS representative FROM n GROUP BY 1""")
 def classify_error_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer names as error texts, grouped by their normal form."""
-    c = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), F.col("c_name").alias("error"))
-    return classify.error_clusters(c)
+    """Error texts of orders with times, fractions, numbers and hosts, grouped by their normal form."""
+    key = F.col("o_orderkey")
+    text = F.concat(
+        F.lit("<b>job</b> "), "o_orderpriority", F.lit(" of "), key, F.lit(" at 2024-05-0"), key % 9, F.lit("T10:00:0"), key % 10, F.lit("Z took "), key % 100, F.lit(".5 s on n"), key % 3,
+        F.lit(".grid.example.org id ab12cd34-"), F.lpad(key.cast("string"), 12, "e"), F.lit("-aaaa-bbbbbbbbb"),
+    )
+    return classify.error_clusters(tables.table(spark, sf_dir, "orders").select(key.alias("seq"), text.alias("error")))
 
 
 def _pads() -> tuple[str, str]:
@@ -387,13 +418,31 @@ def log_line_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.line_lengths(tables.log_lines(spark, sf_dir), "log_id")
 
 
-@query()
+NOISE = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?|\b\d{2}/\d{2}/\d{4}\b|\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b|0x[0-9a-fA-F]+|\b\d{5,}\b|\b[\w.-]+\.(?:cern\.ch|triumf\.ca|bnl\.gov|slac\.stanford\.edu"
+SIGNAL = "error|exception|traceback|fatal|critical|warning|warn|fail|abort|killed|timeout|segfault|panic|denied|refused|missing|not found|brokerage|no candidates|pilot|payload"
+MORE = NOISE + r"|desy\.de)\b|(?:root|https?|file|gsiftp)://[^\s''\"]+|/(?:cvmfs|pnfs|eos|tmp|var|home|usr|opt)/[^\s''\"]+|''[^'']*''|\"[^\"]*\"|\[[^\]]*\]|\b[\w.-]+\.(?:data|json|xml|log|root|stdout|stderr|txt|py|so|cfg)\b"
+
+
+@query(rf"""WITH {LINES},
+near AS (SELECT *, max(regexp_matches(line, '(?i){SIGNAL}')::INT) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM lines),
+kept AS (SELECT *, max(near) OVER (PARTITION BY log_id) AS any_ FROM near),
+norm AS (SELECT log_id, line_no, line, trim(regexp_replace(line, '{NOISE})\b', '', 'gi')) AS norm FROM kept WHERE near = 1 OR any_ = 0),
+once AS (SELECT *, row_number() OVER (PARTITION BY log_id, norm ORDER BY line_no) AS nth FROM norm),
+folded AS (SELECT *, lag(norm) OVER (PARTITION BY log_id ORDER BY line_no) AS before FROM once WHERE norm = '' OR nth = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY line_no) AS place, count(*) OVER (PARTITION BY log_id) AS n FROM folded WHERE norm <> '' OR before IS NULL OR before <> ''),
+shown AS (SELECT log_id, place::DOUBLE AS place, line FROM placed WHERE n <= 300 OR place <= 20 OR place > n - 50
+  UNION ALL SELECT log_id, 20.5, '... (' || (n - 70) || ' lines omitted) ...' FROM placed WHERE n > 300 AND place = 1)
+SELECT log_id, string_agg(line, chr(10) ORDER BY place) AS text FROM shown GROUP BY 1""")
 def log_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signal lines of every document."""
     return logs.filtered_text(tables.log_lines(spark, sf_dir))
 
 
-@query()
+@query(rf"""WITH {LINES},
+norm AS (SELECT log_id, line_no, trim(regexp_replace(line, '{MORE}', '', 'gi')) AS norm FROM lines),
+starts AS (SELECT *, (lag(norm) OVER (PARTITION BY log_id ORDER BY line_no) IS DISTINCT FROM norm)::INT AS start FROM norm),
+runs AS (SELECT *, sum(start) OVER (PARTITION BY log_id ORDER BY line_no) AS run FROM starts)
+SELECT log_id, run::BIGINT AS run, min(norm) AS norm, min(line_no)::INT AS first, max(line_no)::INT AS last FROM runs GROUP BY 1, 2""")
 def log_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring lines alike once normalised."""
     return logs.fold_runs(tables.log_lines(spark, sf_dir))
@@ -430,7 +479,7 @@ def doc_merge_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.merge_hits(hits).select("qid", "url", "source", "score")
 
 
-@query(r"""SELECT page_id, len(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1)) AS links, md5(array_to_string(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1), ' ')) AS digest FROM pages""")
+@query(r"""SELECT page_id, len(regexp_extract_all(html, '(?i)<a\s+[^>]*href=["'']([^"'']+)["''][^>]*>', 1)) AS links, md5(array_to_string(regexp_extract_all(html, '(?i)<a\s+[^>]*href=["'']([^"'']+)["''][^>]*>', 1), ' ')) AS digest FROM pages""")
 def doc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of every page."""
     found = scalars.hrefs(F.col("html"))
@@ -457,7 +506,7 @@ def doc_breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r = tables.table(spark, sf_dir, "nation"), tables.table(spark, sf_dir, "region")
     leaves = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("id"), F.col("r_name").alias("parent_id"), F.col("n_name").alias("title"), F.lit("").alias("summary"))
     roots = r.select(F.col("r_name").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("title"), F.concat(F.lit("about "), "r_name").alias("summary"))
-    return docs.breadcrumbs(leaves.unionByName(roots))
+    return docs.breadcrumbs(leaves.unionByName(roots)).select("id", "path", "context")
 
 
 @query("""SELECT coalesce(a.p, b.p) AS path, CASE WHEN a.p IS NULL THEN 'new' WHEN b.p IS NULL THEN 'deleted' ELSE 'changed' END AS change
@@ -477,10 +526,12 @@ JOBS = """jobs AS (SELECT user_id AS task_id, event_id AS job_id, CASE WHEN even
  coalesce(nullif(trim(CASE WHEN event_type = 'click' THEN props ELSE '' END), ''), CASE WHEN value > 50 THEN 'slow' END, 'other') AS error, event_id % 3 AS error_code, event_id % 4 = 0 AS is_scout FROM events)"""
 
 
-@query(f"WITH {JOBS} SELECT task_id, status, count(*) AS n FROM jobs GROUP BY 1, 2")
+@query(f"""WITH {JOBS}, f AS (SELECT task_id, job_id, row_number() OVER (PARTITION BY task_id ORDER BY job_id) AS r FROM jobs WHERE status = 'failed'),
+ids AS (SELECT task_id, string_agg(job_id::VARCHAR, ',' ORDER BY job_id) AS failed_ids FROM f WHERE r <= 20 GROUP BY 1)
+SELECT task_id, status, count(*) AS n, any_value(failed_ids) AS failed_ids FROM jobs LEFT JOIN ids USING (task_id) GROUP BY 1, 2""")
 def job_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs of each task by status."""
-    return telemetry.job_summary(tables.jobs(spark, sf_dir))[0].select("task_id", "status", "n")
+    """Jobs of each task by status, and its first failed ones."""
+    return telemetry.job_summary(tables.jobs(spark, sf_dir))[0].select("task_id", "status", "n", F.array_join(F.transform("failed_ids", lambda x: x.cast("string")), ",").alias("failed_ids"))
 
 
 @query(f"""WITH {JOBS}, e AS (SELECT task_id, error, count(*) AS n FROM jobs WHERE status = 'failed' GROUP BY 1, 2)
@@ -491,26 +542,26 @@ def job_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {JOBS},
-t AS (SELECT *, CASE WHEN is_scout AND row_number() OVER (PARTITION BY task_id, is_scout ORDER BY job_id) <= 5 THEN 0
-  WHEN NOT is_scout AND status = 'failed' AND row_number() OVER (PARTITION BY task_id, is_scout, status = 'failed', error_code ORDER BY job_id) = 1 THEN 1 ELSE 2 END AS tier FROM jobs)
-SELECT task_id, job_id, tier, place FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY tier, job_id) AS place FROM t) WHERE place <= 10""")
+r AS (SELECT *, error_code::VARCHAR AS code, row_number() OVER (PARTITION BY task_id, is_scout ORDER BY job_id) AS nth FROM jobs WHERE is_scout OR status = 'failed'),
+t AS (SELECT *, CASE WHEN is_scout THEN 0 WHEN max((is_scout AND nth <= 5)::INT) OVER (PARTITION BY task_id, code) = 0 AND row_number() OVER (PARTITION BY task_id, is_scout, code ORDER BY job_id) = 1 THEN 1 ELSE 2 END AS tier FROM r)
+SELECT task_id, job_id, tier, place FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY tier, job_id) AS place FROM t) WHERE place <= 5""")
 def job_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten jobs of each task: scouts, new errors, others."""
+    """Five jobs of each task: scouts, new errors, others."""
     return telemetry.sample_jobs(tables.jobs(spark, sf_dir)).select("task_id", "job_id", "tier", "place")
 
 
-@query("""WITH s AS (SELECT user_id AS host, event_id AS seq, event_id % 4 AS idx, floor(value)::INT AS sm FROM events),
+@query("""WITH s AS (SELECT user_id AS host, event_id AS seq, event_id % 4 AS idx, floor(value)::INT AS sm, floor(value / 2)::INT AS membw FROM events),
 t AS (SELECT *, sum((coalesce(lag_, 1000) >= idx)::INT) OVER (PARTITION BY host ORDER BY seq) AS tick FROM (SELECT *, lag(idx) OVER (PARTITION BY host ORDER BY seq) AS lag_ FROM s))
-SELECT host, tick::BIGINT AS tick, min(seq) AS seq, sum(sm)::BIGINT AS sm FROM t GROUP BY 1, 2""")
+SELECT host, tick::BIGINT AS tick, min(seq) AS seq, sum(sm)::BIGINT AS sm, sum(membw)::BIGINT AS membw, sum(80)::BIGINT AS total, sum(sm)::BIGINT AS used, sum(80 - sm)::BIGINT AS free FROM t GROUP BY 1, 2""")
 def accelerator_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples summed per tick."""
-    return telemetry.ticks(tables.samples(spark, sf_dir)).select("host", "tick", "seq", "sm")
+    return telemetry.ticks(tables.samples(spark, sf_dir))
 
 
-@query("""SELECT user_id AS host, (event_id // 1000) * 1000 AS window_s, min(floor(value)::INT) AS sm_min, round_even(avg(floor(value)::INT), 0)::INT AS sm_mean, max(floor(value)::INT) AS sm_max, count(*) AS n FROM events GROUP BY 1, 2""")
+@query("""SELECT user_id AS host, (event_id // 1000) * 1000 AS window_s, min(floor(value)::INT) AS sm_min, round_even(avg(floor(value)::INT), 0)::INT AS sm_mean, max(floor(value)::INT) AS sm_max, max(floor(value / 2)::INT) AS membw_max, 80 AS total, max(floor(value)::INT) AS used, min(80 - floor(value)::INT) AS free, count(*) AS n FROM events GROUP BY 1, 2""")
 def accelerator_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling windows over samples."""
-    return telemetry.windows(tables.samples(spark, sf_dir), 1000).select("host", "window_s", "sm_min", "sm_mean", "sm_max", "n")
+    return telemetry.windows(tables.samples(spark, sf_dir), 1000)
 
 
 @query("""WITH m AS (SELECT user_id AS host, event_id AS seq, event_type AS state, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events),
@@ -528,26 +579,23 @@ def accelerator_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.downsample(tables.samples(spark, sf_dir), "host", "seq", 10).select("host", "seq", "place")
 
 
-@query("""WITH s AS (SELECT user_id AS host, event_id, CASE event_type WHEN 'click' THEN 'gpu-full' WHEN 'view' THEN 'cpu' ELSE 'gpu-partial' END AS state FROM events)
-SELECT host, count(*) AS n, count(*) FILTER (state = 'gpu-full') AS n_gpu_full, count(*) FILTER (state = 'cpu') AS n_cpu, min(event_id) FILTER (state = 'cpu') AS first_off, floor(count(*) FILTER (state LIKE 'gpu%') * 100 / count(*))::INT AS gpu_percent FROM s GROUP BY 1""")
+@query("""WITH s AS (SELECT user_id AS host, event_id, CASE event_type WHEN 'click' THEN 'gpu-full' WHEN 'view' THEN 'cpu' ELSE 'gpu-partial' END AS state FROM events),
+m AS (SELECT *, lag(state) OVER (PARTITION BY host ORDER BY event_id) AS before FROM s),
+p AS (SELECT host, string_agg(state, ' -> ' ORDER BY event_id) AS transitions FROM m WHERE before IS DISTINCT FROM state GROUP BY 1)
+SELECT host, count(*) AS n, count(*) FILTER (state = 'gpu-full') AS n_gpu_full, count(*) FILTER (state = 'cpu') AS n_cpu, min(event_id) FILTER (state = 'cpu') AS first_off, floor(count(*) FILTER (state LIKE 'gpu%') * 100 / count(*))::INT AS gpu_percent, any_value(transitions) AS transitions FROM s JOIN p USING (host) GROUP BY 1""")
 def accelerator_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of states of each host."""
+    """Shares of states of each host, and their order."""
     state = F.when(F.col("state") == "click", "gpu-full").when(F.col("state") == "view", "cpu").otherwise("gpu-partial")
-    return telemetry.state_report(tables.samples(spark, sf_dir).withColumn("state", state)).select("host", "n", "n_gpu_full", "n_cpu", "first_off", "gpu_percent")
+    return telemetry.state_report(tables.samples(spark, sf_dir).withColumn("state", state)).select("host", "n", "n_gpu_full", "n_cpu", "first_off", "gpu_percent", "transitions")
 
 
 @query()
 def log_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in twos by their numbers, as logs of a failed and a successful run."""
+    """Documents in twos by their numbers, as logs of a failed and a successful run; one without a partner is left out."""
     d = tables.table(spark, sf_dir, "documents")
     pair = F.floor(F.col("doc_id") / 2).cast("long").alias("pair_id")
-    return compare.compare_logs(d.groupBy(pair).agg(F.min_by("text", "doc_id").alias("failed"), F.max_by("text", "doc_id").alias("successful")))
-
-
-@query(f"""WITH {LINES} SELECT log_id, line_no, trim(regexp_extract(line, '^\\s*={{3,}}\\s*(\\S.*?\\S|\\S)\\s*={{3,}}\\s*$', 1)) AS section FROM lines WHERE regexp_matches(line, '^\\s*={{3,}}\\s*(\\S.*?\\S|\\S)\\s*={{3,}}\\s*$')""")
-def log_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Section markers of all documents."""
-    return logs.markers(tables.log_lines(spark, sf_dir))
+    twos = d.groupBy(pair).agg(F.min_by("text", "doc_id").alias("failed"), F.max_by("text", "doc_id").alias("successful"), F.count("*").alias("n"))
+    return compare.compare_logs(twos.filter("n = 2"))
 
 
 # streams
