@@ -158,17 +158,19 @@ def embedding_dedup(table: DataFrame, threshold: float = 0.93) -> DataFrame:
 
 
 def _cells(turns: dict[int, np.ndarray], reach: float):
-    """Each vector: its cell, and the touching cells whose box is within reach, itself first. Vectors of lengths without components are one cell."""
+    """Each vector: its cell, and the touching cells whose box is within reach, itself first. Labels that aren't wide, and lengths without components, are one cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dim = batch.column("dim").to_numpy(zero_copy_only=False)
+            dim, wide = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "wide"))
             cell, other = np.full(len(dim), "", object), np.empty(len(dim), object)
             other[:] = [[""]] * len(dim)
             for d in np.unique(dim).tolist():
                 if d not in turns:
                     continue
-                at, lead = np.flatnonzero(dim == d), min(LEAD, d)
+                at, lead = np.flatnonzero((dim == d) & wide), min(LEAD, d)
+                if not len(at):
+                    continue
                 steps = np.stack(np.meshgrid(*[[0, -1, 1]] * lead, indexing="ij"), axis=-1).reshape(-1, lead)
                 x = unit(rows_of(batch.column("v").take(pa.array(at)), d)) @ turns[d][:, :lead] / reach
                 own = np.floor(x).astype(np.int64)
@@ -242,10 +244,12 @@ def _links(classes: DataFrame, turns: dict[int, np.ndarray], threshold: float, o
     """Classes -> rows (a, b, w): (class, null, rows it links to in a tile) and edges (class, class, 0).
 
     A vector is sent to its own block and to half of those that its block meets. Blocks grow with their cell, so that up
-    to FINE * BYTES of vectors in a cell cost a fixed number of copies of each.
+    to FINE * BYTES of vectors in a cell cost a fixed number of copies of each; labels of a few blocks are one cell.
     """
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    placed = stored(classes.select("k", "label", "dim", "v", "n").mapInArrow(_cells(turns, reach), "k long, label string, dim int, v binary, n long, cell string, near array<string>"))
+    counts = classes.groupBy(F.col("label").alias("l0"), F.col("dim").alias("d0")).agg((F.count("*") > BLOCK * FINE).alias("wide"))
+    sized = classes.join(maybe_broadcast(counts), (F.col("label") == F.col("l0")) & (F.col("dim") == F.col("d0")))
+    placed = stored(sized.select("k", "label", "dim", "v", "n", "wide").mapInArrow(_cells(turns, reach), "k long, label string, dim int, v binary, n long, cell string, near array<string>"))
     most = F.greatest(F.lit(1), F.floor(F.lit(BYTES) / (8 * F.col("dim"))))
     few = F.ceil(F.count("*") / F.least(F.lit(BLOCK), most))
     sizes = stored(placed.groupBy("label", "dim", "cell").agg(F.when(few <= FINE, few).otherwise(F.greatest(F.lit(FINE), F.ceil(F.count("*") / most))).cast("int").alias("blocks")))
