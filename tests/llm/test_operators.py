@@ -427,23 +427,31 @@ def test_views_hand_labels_to_each_other():
     y = rng.integers(0, 2, 2000).astype(float)
     text = np.stack([y * 4 + rng.standard_normal(2000), rng.standard_normal(2000)], axis=1)
     meta = np.stack([y * 4 + rng.standard_normal(2000), rng.standard_normal(2000)], axis=1)
-    free = {"text": set(range(60, 1000)), "meta": set(range(60, 1000))}
+    free = {"text": set(range(200, 1000)), "meta": set(range(200, 1000))}
 
-    def most_sure(models, quotas):
+    def most_sure(models, quotas, least):
         out = {}
         for (view, label), quota in quotas.items():
             logit = models[view].logit(text if view == "text" else meta) * (1 if label else -1)
-            rows = sorted((i for i in free[view] if logit[i] > 3.5), key=lambda i: -logit[i])[:quota]
+            rows = sorted((i for i in free[view] if logit[i] >= least[view, label]), key=lambda i: -logit[i])[:quota]
             free[view] -= set(rows)
             out[view, label] = (text[rows], meta[rows])
         return out
 
-    model = quality.CoTrained.fit(text[:60], meta[:60], y[:60], np.arange(60) % 5 == 0, most_sure)
+    model = quality.CoTrained.fit(text[:200], meta[:200], y[:200], np.arange(200) % 5 == 0, most_sure)
     assert model.handed > 100
     p, _, _ = model.predict(text[1000:], meta[1000:])
     assert ((p >= 0.5) == y[1000:]).mean() > 0.97
 
 
+def test_confidence_must_hold_on_other_documents():
+    logit, y = np.array([9.0, 8, 7, 6, 5, 4, 3, 2, 1, 0, -1, -2, -9, -9, -9]), np.array([1] * 12 + [0] * 3)
+    assert quality.sure_from(logit, y, 1) == pytest.approx(np.log(0.97 / 0.03))
+    assert quality.sure_from(logit, y, 0) is None  # too few
+    y[3] = 0
+    assert quality.sure_from(logit, y, 1) is None  # one of ten is wrong
+
+
 def test_text_features_against_brute_force(monkeypatch):
     texts = [r[1] for r in documents(n=30)] + ["a\nb\n\na", "x" * 50, "one one one two"]
     kinds = quality.kinds()
@@ -478,7 +486,7 @@ def test_most_sure_documents_against_brute_force(spark):
     ask, quotas = quality._most_sure(free), {("text", 1): 30, ("text", 0): 10, ("meta", 1): 5, ("meta", 0): 400}
     before = {k: set() for k in quotas}
     for _ in range(3):
-        got = ask(models, quotas)
+        got = ask(models, quotas, dict.fromkeys(quotas, float(np.log(0.97 / 0.03))))
         for (view, label), quota in quotas.items():
             logit = models[view].logit(quality.unpacked(t if view == "text" else m)) * (1 if label else -1)
             left = [i for i in range(500) if logit[i] >= np.log(0.97 / 0.03) + quality.LOGIT_STEP and i not in before[view, label]]

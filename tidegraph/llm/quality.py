@@ -27,6 +27,8 @@ from tidegraph.llm.shingles import distinct, lowered, word_hashes
 LABELLED = 4000
 #: Rounds; a document is handed over with at least this probability; so many by each view in each round.
 ROUNDS, SURE, EACH = 5, 0.97, 200
+#: Documents for calibration by which a view's confidence is judged.
+FEW = 10
 #: Steps of confidence that predictions are counted in.
 LOGIT_STEP = 0.02
 KINDS, WORDS = 16, 256
@@ -145,6 +147,15 @@ def probability(logit: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
+def sure_from(logit: np.ndarray, y: np.ndarray, label: int) -> float | None:
+    """The logit (of the label) from which at least SURE of the documents at or above it have the label, but no lower than that of SURE itself; None without FEW of them."""
+    mine = logit if label else -logit
+    order = np.argsort(-mine, kind="stable")
+    right = np.cumsum(y[order] == label) / np.arange(1, len(order) + 1)
+    good = np.flatnonzero((right >= SURE) & (np.arange(len(order)) + 1 >= FEW))
+    return max(float(np.log(SURE / (1 - SURE))), float(mine[order][good[-1]])) if len(good) else None
+
+
 def packed(x: np.ndarray) -> np.ndarray:
     """Features from 0 to 1 in 255 steps: what is fitted on and what is predicted from."""
     return np.rint(x * 255).astype(np.uint8)
@@ -167,8 +178,9 @@ class CoTrained:
     def fit(text: np.ndarray, meta: np.ndarray, y: np.ndarray, calibrate: np.ndarray, most_sure) -> CoTrained:
         """y: labels of the rows of text and meta; calibrate: which of them are kept for calibration.
 
-        most_sure(models, quotas): for each (view, label) the (text rows, meta rows) of at most so many unlabelled documents that
-        the view is most sure of and that it hasn't handed over yet.
+        most_sure(models, quotas, least): for each (view, label) the (text rows, meta rows) of at most so many unlabelled documents that
+        the view is most sure of, from a logit on, and that it hasn't handed over yet. A view hands over nothing for which its
+        confidence doesn't hold on the documents kept for calibration.
         """
         learn = ~calibrate if (~calibrate).any() else np.ones(len(y), bool)
         check = calibrate if calibrate.any() else learn
@@ -183,7 +195,9 @@ class CoTrained:
         quotas = {(v, label): max(1, round(EACH * part)) for v in sets for label, part in ((1, share), (0, 1 - share))}
         for _ in range(ROUNDS):
             moved = 0
-            for (view, label), rows in most_sure(models, quotas).items():
+            least = {(v, label): sure_from(models[v].logit(x[check]), y[check], label) for v, x in (("text", text), ("meta", meta)) for label in (1, 0)}
+            asked = {k: n for k, n in quotas.items() if least[k] is not None}
+            for (view, label), rows in most_sure(models, asked, least).items() if asked else ():
                 other = "meta" if view == "text" else "text"
                 x = rows[1] if view == "text" else rows[0]
                 if len(x):
@@ -227,7 +241,6 @@ def _most_sure(free: DataFrame):
     """
     spark = free.sparkSession
     gone: dict[tuple[str, int], set[int]] = {}
-    least = int(np.log(SURE / (1 - SURE)) / LOGIT_STEP)
 
     def logits(models: dict[str, Logistic], batch: pa.RecordBatch) -> Iterator[tuple[str, int, np.ndarray]]:
         for view, column in (("text", "t"), ("meta", "m")):
@@ -235,8 +248,9 @@ def _most_sure(free: DataFrame):
             yield view, 1, step
             yield view, 0, -step
 
-    def ask(models: dict[str, Logistic], quotas: dict[tuple[str, int], int]) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+    def ask(models: dict[str, Logistic], quotas: dict[tuple[str, int], int], least: dict[tuple[str, int], float | None]) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
         sent = spark.sparkContext.broadcast((models, {k: np.array(sorted(v), np.int64) for k, v in gone.items()}))
+        lowest = {k: int(np.ceil(least[k] / LOGIT_STEP)) for k in quotas}
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             given, taken = sent.value
@@ -245,7 +259,9 @@ def _most_sure(free: DataFrame):
                     continue
                 ids = batch.column("id").to_numpy()
                 for view, label, step in logits(given, batch):
-                    hit = step >= least
+                    if (view, label) not in lowest:
+                        continue
+                    hit = step >= lowest[view, label]
                     if (view, label) in taken:
                         hit &= ~np.isin(ids, taken[view, label])
                     steps, n = np.unique(step[hit], return_counts=True)
