@@ -293,6 +293,25 @@ def test_funnels(spark):
     assert {(r["site"], r["filtered_at"]) for r in fates.collect()} == {("S1", "disk check"), ("S2", "memory check"), ("S3", "memory check"), ("S4", "final check")}
 
 
+def test_funnels_send_nothing_to_the_driver(spark):
+    lines = spark.range(2000).select(F.col("id").alias("log_id"), F.posexplode(F.split(F.lit(FUNNEL), "\n")).alias("line_no", "line"))
+    stages, fates = logs.parse_funnel(lines)
+    assert (stages.count(), fates.count()) == (6000, 8000)
+    for df in (stages, fates):  # lines spread from a small table are planned as if they were as small
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_funnel_stages_named_alike_and_counts_told_again(spark):
+    first = "initial 9 candidates\nskip site=A r criteria=-x\n4 candidates passed\n9 candidates passed\nskip site=B r criteria=-y\nskip site=A s criteria=-z\nfinal candidates: 7\n== skip\n=== Job brokerage summary ===\n9 -> 4 candidates, 1% cut : m\n4 -> 3 candidates, 2% cut : n\n3 -> 2 candidates, 3% cut : m"
+    last = first.replace("final candidates: 7", "7 candidates passed") + "\nfinal candidates: 1\nfinal candidates: 5\ninitial 8 candidates\nskip site=C r criteria=-x"
+    stages, fates = logs.parse_funnel(lines_of(spark, first, last, first.replace("===", "==")))
+    got = [(r["log_id"], r["stage"], r["name"], r["criteria_seen"], r["initial"], r["final"]) for r in stages.orderBy("log_id", "stage").collect()]
+    rows = [(0, "m", ["-x"]), (1, "n", ["-y", "-z"]), (2, "m", ["-x"])]
+    assert got == [(k, *row, 9, final) for k, final in ((0, 2), (1, 1)) for row in rows]
+    assert sorted((r["log_id"], r["site"], r["filtered_at"], r["reason"]) for r in fates.collect()) == [(k, *f) for k in (0, 1) for f in (("A", "m", "r"), ("B", "n", "r"))]
+
+
 def test_keyword_windows(spark):
     text = "\n".join(["a", "b", "x", "x", "x", "a b", "y", "b", "a"] + ["z"] * 20)
     got = logs.keyword_windows(lines_of(spark, text), ("A", "b"), span=5, around=2).collect()

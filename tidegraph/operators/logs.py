@@ -143,28 +143,34 @@ def parse_funnel(lines: DataFrame, key: str = "log_id") -> tuple[DataFrame, Data
     stage between whose counts' first mentions it lies (from the start, or to the end of the body, where a count is
     never mentioned). Logs without the header or without rows give nothing.
     """
-    head = lines.filter(F.col("line").rlike(FUNNEL_HEADER)).groupBy(key).agg(F.min("line_no").alias("head"))
-    told = lines.join(head, key)
-    rows = told.filter((F.col("line_no") >= F.col("head")) & F.col("line").rlike(FUNNEL_ROW))
-    field = lambda i: F.regexp_extract("line", FUNNEL_ROW, i)
-    place = F.row_number().over(Window.partitionBy(key).orderBy("line_no")) - 1
-    stages = rows.select(key, "head", place.alias("stage"), F.trim(field(4)).alias("name"), field(1).cast("int").alias("before"), field(2).cast("int").alias("after"), field(3).cast("double").cast("int").alias("cut_pct"))
-    body = told.filter("line_no < head")
-    number = F.coalesce(*(F.nullif(F.regexp_extract("line", MILESTONE, i), F.lit("")) for i in (1, 2))).cast("int")
-    miles = body.withColumn("n", number).filter("n is not null").groupBy(key, "n").agg(F.min("line_no").alias("at"))
-    a = miles.select(key, F.col("n").alias("before"), F.col("at").alias("from_line"))
-    b = miles.select(key, F.col("n").alias("after"), F.col("at").alias("to_line"))
-    ranged = stages.join(a, [key, "before"], "left").join(b, [key, "after"], "left").withColumn("from_line", F.coalesce("from_line", F.lit(0))).withColumn("to_line", F.coalesce("to_line", "head"))
+    line, no = F.col("line"), F.col("line_no")
+    text = lambda p, i=1: F.nullif(F.regexp_extract("line", p, i), F.lit(""))
+    row = F.when(line.rlike(FUNNEL_ROW), F.struct(*(F.regexp_extract("line", FUNNEL_ROW, i).alias(c) for i, c in enumerate(("before", "after", "cut", "name"), 1))))
+    kept = lines.filter(F.col(key).isNotNull() & (F.lower("line").contains("candidate") | line.rlike(FUNNEL_HEADER)))
+    told = kept.select(key, "line_no", line.rlike(FUNNEL_HEADER).alias("header"), row.alias("row"), F.coalesce(text(MILESTONE), text(MILESTONE, 2)).alias("count"), text(INITIAL).alias("initial"), text(FINAL).alias("final"))
+    told = told.withColumn("head", F.min(F.when(F.col("header"), no)).over(Window.partitionBy(key))).filter("head is not null")
+    told = told.withColumn("count", F.when(no < F.col("head"), F.col("count").cast("int"))).withColumn("nth", F.row_number().over(Window.partitionBy(key, "count").orderBy("line_no")))
+    r = lambda c: F.col(f"row.{c}")
+    stage = F.struct("line_no", F.trim(r("name")).alias("name"), r("before").cast("int").alias("before"), r("after").cast("int").alias("after"), r("cut").cast("double").cast("int").alias("cut_pct"))
+    logs = told.groupBy(key).agg(
+        F.min("head").alias("head"),
+        F.array_sort(F.collect_list(F.when(F.col("row").isNotNull() & (no >= F.col("head")), stage))).alias("rows"),
+        F.map_from_entries(F.collect_list(F.when(F.col("count").isNotNull() & (F.col("nth") == 1), F.struct("count", "line_no")))).alias("at"),
+        F.min_by("initial", F.when(F.col("initial").isNotNull(), no)).cast("int").alias("initial"),
+        F.min_by("final", F.when(F.col("final").isNotNull() & (no >= F.col("head")), no)).cast("int").alias("final"),
+    ).filter("size(rows) > 0")
+    ranged = lambda x, i: F.struct(i.alias("stage"), *(x[c].alias(c) for c in ("name", "before", "after", "cut_pct")), F.coalesce(F.col("at")[x["before"]], F.lit(0)).alias("from_line"), F.coalesce(F.col("at")[x["after"]], "head").alias("to_line"))
+    logs = logs.select(key, "head", F.transform("rows", ranged).alias("stages"), "initial", F.coalesce("final", F.element_at("rows", -1)["after"]).alias("final"))
     part = lambda i: F.regexp_extract("line", SKIP, i)
-    skips = body.filter(F.col("line").rlike(SKIP)).select(key, "line_no", part(1).alias("site"), F.trim(part(2)).alias("reason"), part(3).alias("criteria"))
-    owned = skips.join(ranged.select(key, "stage", "name", "from_line", "to_line"), key).filter("line_no between from_line and to_line")
-    mine = owned.groupBy(key, "line_no", "site", "reason", "criteria").agg(F.min_by("name", "stage").alias("filtered_at"))
-    seen = mine.groupBy(key, F.col("filtered_at").alias("name")).agg(F.array_sort(F.collect_set("criteria")).alias("criteria_seen"))
-    pick = lambda p, after: F.min_by(F.regexp_extract("line", p, 1), F.when(F.col("line").rlike(p) & after, F.col("line_no"))).cast("int")
-    ends = told.groupBy(key).agg(pick(INITIAL, F.lit(True)).alias("initial"), pick(FINAL, F.col("line_no") >= F.col("head")).alias("final"))
-    last = ranged.groupBy(key).agg(F.max_by("after", "stage").alias("last_after"))
-    out = ranged.join(seen, [key, "name"], "left").join(ends, key).join(last, key)
-    out = out.select(key, "stage", "name", "before", "after", "cut_pct", F.coalesce("criteria_seen", F.array().cast("array<string>")).alias("criteria_seen"), "initial", F.coalesce("final", "last_after").alias("final"))
+    skips = lines.filter(line.rlike(SKIP)).select(key, "line_no", part(1).alias("site"), F.trim(part(2)).alias("reason"), part(3).alias("criteria"))
+    inside = F.filter("stages", lambda x: no.between(x["from_line"], x["to_line"]))
+    # merged: the planner takes the lines that a small table is spread to for as small as that table, and would send one side to the driver
+    owned = logs.join(skips.hint("merge"), key, "left").withColumn("filtered_at", F.when(no < F.col("head"), F.get(inside, F.lit(0))["name"]))
+    mine = owned.filter("filtered_at is not null")
+    seen = F.collect_set(F.when(F.col("filtered_at").isNotNull(), F.struct("filtered_at", "criteria"))).alias("seen")
+    whole = owned.groupBy(key).agg(*(F.first(c).alias(c) for c in ("stages", "initial", "final")), seen)
+    criteria = F.array_sort(F.transform(F.filter("seen", lambda x: x["filtered_at"] == F.col("s.name")), lambda x: x["criteria"]))
+    out = whole.withColumn("s", F.explode("stages")).select(key, *(f"s.{c}" for c in ("stage", "name", "before", "after", "cut_pct")), criteria.alias("criteria_seen"), "initial", "final")
     first = F.row_number().over(Window.partitionBy(key, "site").orderBy("line_no"))
     fates = mine.withColumn("n", first).filter("n = 1").select(key, "site", "filtered_at", "criteria", "reason")
     return out, fates
